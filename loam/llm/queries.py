@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import html_extract, quality, sharding, url_filter
+from loam.llm import decontaminate, html_extract, line_dedup, quality, sharding, url_filter
 
 
 def _read(spark, sf_dir, name):
@@ -11,6 +11,8 @@ def _read(spark, sf_dir, name):
 
 def queries():
     return {
+        "op1_line_dedup": lambda s, d: line_dedup.dedup_lines(_read(s, d, "documents")),
+        "op5_decontamination": lambda s, d: decontaminate.find_leaks(_read(s, d, "documents"), _read(s, d, "benchmark")),
         "op6_url_filter": lambda s, d: url_filter.filter_urls(_read(s, d, "pages")),
         "op7_html_extract": lambda s, d: html_extract.extract_text(_read(s, d, "pages")),
         "op8_quality_rules": lambda s, d: quality.quality_ledger(_read(s, d, "documents")),
@@ -21,6 +23,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op1_line_dedup": line_dedup.DEDUP_SQL,
         "op6_url_filter": url_filter.FILTER_SQL,
         "op7_html_extract": html_extract.EXTRACT_SQL,
         "op8_quality_rules": quality.LEDGER_SQL,
