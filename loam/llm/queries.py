@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, html_extract, line_dedup, quality, sharding, url_filter
+from loam.llm import decontaminate, html_extract, line_dedup, near_dedup, quality, sharding, url_filter
 
 
 def _read(spark, sf_dir, name):
@@ -12,6 +12,7 @@ def _read(spark, sf_dir, name):
 def queries():
     return {
         "op1_line_dedup": lambda s, d: line_dedup.dedup_lines(_read(s, d, "documents")),
+        "op2_minhash_near_dedup": lambda s, d: near_dedup.dedup_pairs(_read(s, d, "documents")),
         "op5_decontamination": lambda s, d: decontaminate.find_leaks(_read(s, d, "documents"), _read(s, d, "benchmark")),
         "op6_url_filter": lambda s, d: url_filter.filter_urls(_read(s, d, "pages")),
         "op7_html_extract": lambda s, d: html_extract.extract_text(_read(s, d, "pages")),
