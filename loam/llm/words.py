@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 WORD = "[0-9a-zÀ-῿぀-\U0010ffff]+"
 #: Bytes of text worked on at once; one longer document is worked on alone.
-CHUNK = 2 << 20
+CHUNK = 1 << 18
 
 _U = np.uint64
 _IS_WORD = np.zeros(256, bool)
