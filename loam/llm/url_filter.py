@@ -2,8 +2,9 @@
 
 Trust starts at trusted hosts and follows links; distrust starts at blocked hosts and follows links
 backwards, for a host answers for what it links to.  Both are personalised PageRank with a fixed number
-of rounds; mass at a host without out-links is lost.  A page is kept unless its host is a blocked seed or
-its distrust is at least MIN_DISTRUST and above its trust.
+of rounds; mass at a host without out-links is lost.  Every seed restarts with a mass of 1, whatever their
+number, so scores and MIN_DISTRUST mean the same on a graph of any size.  A page is kept unless its host is
+a blocked seed or its distrust is at least MIN_DISTRUST and above its trust.
 
 Defined results: pages whose url is null or has no host get a null host, zero scores and are kept; links
 within a host are no edges; several links from one host to another weigh once a linking page and target
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from loam.runtime import materialise, small_side
 
-ROUNDS, DAMPING, MIN_DISTRUST = 20, 0.85, 1e-4
+ROUNDS, DAMPING, MIN_DISTRUST = 20, 0.85, 0.01
 #: Production seeds: patterns of SQL LIKE over hosts.
 TRUSTED, BLOCKED = ["%.example.org", "www.%"], ["blog.%.example.net", "m.%.example.com"]
 
@@ -50,12 +51,10 @@ def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: Column, rounds:
 
     Each round reads the ranks once and shuffles them by host; every fifth cuts the lineage.
     """
-    starts = hosts.withColumn("seed", seed)
-    n = starts.where("seed").count()
-    base = starts.where("seed").select("host", F.lit(1.0 / max(n, 1)).alias("s"))
+    base = hosts.where(seed).select("host", F.lit(1.0).alias("s"))
     total = edges.groupBy("src").agg(F.sum("w").alias("total"))
     step = edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
-    if not n or not edges.take(1):
+    if not edges.take(1):
         # nothing spreads: each round gives seeds their share of (1 - damping)
         return hosts.join(base, "host", "left").select("host", F.coalesce(F.col("s") * (1 - damping if rounds else 1.0), F.lit(0.0)).alias("score"))
     step = materialise(step)
@@ -96,7 +95,7 @@ def _sql() -> str:
     rounds = []
     for kind, edges in (("t", "step"), ("d", "pets")):
         seed = f"{like(TRUSTED)} AND NOT {like(BLOCKED)}" if kind == "t" else like(BLOCKED)
-        rounds.append(f"{kind}s AS (SELECT host, 1.0::DOUBLE / count(*) OVER () AS s FROM hosts WHERE {seed})")
+        rounds.append(f"{kind}s AS (SELECT host, 1.0::DOUBLE AS s FROM hosts WHERE {seed})")
         rounds.append(f"{kind}0 AS (SELECT host, s AS r FROM {kind}s)")
         for i in range(ROUNDS):
             rounds.append(
