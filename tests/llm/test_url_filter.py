@@ -1,0 +1,81 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from loam.llm.url_filter import filter_urls, host_edges, score_hosts
+
+PAGES = "page_id long, url string, html string"
+
+
+def page(i, url, *links):
+    return (i, url, "".join(f'<a href="{x}">l</a>' for x in links))
+
+
+def web(seed, hosts=14, pages=60):
+    r = random.Random(seed)
+    names = [f"h{i}.org" for i in range(hosts)] + ["good.org", "bad.org"]
+    return [page(i, f"https://{r.choice(names)}/{i}", *(f"http://{r.choice(names)}/{r.randrange(3)}" for _ in range(r.randint(0, 4)))) for i in range(pages)], names
+
+
+def brute(rows, trusted, blocked, rounds, damping):
+    host = lambda u: u.split("/")[2]
+    w = Counter()
+    for _, url, html in rows:
+        for link in set(html.split('"')[1::2]):
+            if host(link) != host(url):
+                w[host(url), host(link)] += 1
+    hosts = {host(u) for _, u, _ in rows} | {h for e in w for h in e}
+
+    def rank(edges, seeds):
+        out = defaultdict(float)
+        for (s, _), k in edges.items():
+            out[s] += k
+        r = {h: 1.0 if h in seeds else 0.0 for h in hosts}
+        for _ in range(rounds):
+            new = {h: (1 - damping) if h in seeds else 0.0 for h in hosts}
+            for (s, d), k in edges.items():
+                new[d] += damping * r[s] * k / out[s]
+            r = new
+        return r
+
+    return rank(w, set(trusted) & hosts), rank(Counter({(d, s): k for (s, d), k in w.items()}), set(blocked) & hosts)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ranks_are_brute_force_s(spark, seed):
+    rows, _ = web(seed)
+    trust, distrust = brute(rows, ["good.org"], ["bad.org"], 7, 0.85)
+    got = score_hosts(spark.createDataFrame(rows, PAGES), ["good.org"], ["bad.org"], 7, 0.85, 0.01).collect()
+    assert {r.host for r in got} == set(trust)
+    for r in got:
+        assert abs(r.trust - trust[r.host]) < 1e-9 and abs(r.distrust - distrust[r.host]) < 1e-9
+        assert r.keep == (r.host != "bad.org" and not (r.distrust >= 0.01 and r.distrust > r.trust))
+
+
+def test_what_links_to_blocked_hosts_goes(spark):
+    rows = [page(1, "https://bad.org/x"), page(2, "https://spam.org/", "https://bad.org/x"), page(3, "https://good.org/", "https://fine.org/"), page(4, "https://fine.org/", "https://bad.org/x"), page(5, "https://lone.org/")]
+    got = {r.page_id: r.keep for r in filter_urls(spark.createDataFrame(rows, PAGES), ["good.org"], ["bad.org"]).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: True, 5: True}
+
+
+def test_scores_do_not_shrink_with_the_graph(spark):
+    one = [page(1, "https://bad0.org/x"), page(2, "https://spam0.org/", "https://bad0.org/x")]
+    many = [page(10 * i + k, u.replace("0.org", f"{i}.org"), *([f"https://bad{i}.org/x"] if k == 2 else [])) for i in range(20) for k, u, _ in one]
+    score = lambda rows: {r.page_id: r.distrust for r in filter_urls(spark.createDataFrame(rows, PAGES), [], ["bad%.org"]).collect()}
+    assert score(one)[2] == score(many)[2] > 0.1
+
+
+def test_edges_count_a_page_s_link_once(spark):
+    rows = [page(1, "https://A.org:80/x", "//b.org/q", "//b.org/q", "https://user@B.org/z", "/local", "https://a.org/y", "mailto:x@c.org"), page(2, "https://a.org/2", "//b.org/q"), (3, None, '<a href="https://b.org/x">'), (4, "https://c.org", None)]
+    assert [tuple(r) for r in host_edges(spark.createDataFrame(rows, PAGES)).collect()] == [("a.org", "b.org", 3)]
+
+
+def test_odd_rows(spark):
+    rows = [page(None, "https://a.org/", "https://b.org/"), page(1, "https://a.org/"), page(1, "https://a.org/"), page(2, None), page(3, "nonsense"), (4, "https://b.org", None), (5, "", "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], PAGES + ", host string")
+    got = Counter((r.page_id, r.host, r.keep) for r in filter_urls(df, ["a.org"], ["b.org"]).collect())
+    assert got == Counter({(None, "a.org", True): 1, (1, "a.org", True): 2, (2, None, True): 1, (3, None, True): 1, (4, "b.org", False): 1, (5, None, True): 1})
+    assert filter_urls(df.limit(0)).count() == 0
+    lone = filter_urls(spark.createDataFrame([page(1, "https://a.org/")], PAGES), ["a.org"], []).first()
+    assert abs(lone.trust - 0.15) < 1e-9 and lone.distrust == 0
