@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,26 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "doc_stats", "meta")])
 
 
+def postings_bytes(posts: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, df, byte_offset and records: each posting's 10 little-endian bytes (page_id and freq in 4 each, in_title, in_domain), by page.
+
+    The terms' records, one after another in order of term, are the bytes that the offsets point into.
+    Ids and frequencies beyond 32 bits don't fit the form and fail.
+    """
+
+    def pack(lists: pa.Array) -> pa.Array:
+        kind = np.dtype([("page", "<u4"), ("freq", "<u4"), ("title", "u1"), ("domain", "u1")])
+        out = []
+        for ps in lists.to_pylist():
+            if any(max(p["page_id"], p["freq"]) >= 1 << 32 or p["page_id"] < 0 for p in ps):
+                raise ValueError("a page id or frequency doesn't fit 32 bits")
+            out.append(np.array([(p["page_id"], p["freq"], p["in_title"], p["in_domain"]) for p in ps], kind).tobytes())
+        return pa.array(out, pa.binary())
+
+    lists = posting_lists(posts.where("page_id IS NOT NULL"))
+    return posting_offsets(terms).join(lists, "term").select("term", "df", "byte_offset", F.arrow_udf(pack, "binary")("postings").alias("records"))
+
+
 def posting_lists(posts: DataFrame) -> DataFrame:
     """term and its postings as one array, by page."""
     entry = F.struct("page_id", "freq", "in_title", "in_domain")

@@ -8,7 +8,12 @@ from os import environ
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SEEDS = ["https://en.wikipedia.org/wiki/Main_Page", "https://www.bbc.com/news", "https://stackoverflow.com", "https://arxiv.org", "https://www.python.org"]
+#: Where a crawl starts unless told otherwise, by letter.
+SEEDS = sorted(
+    f"https://{h}"
+    for h in "en.wikipedia.org github.com news.ycombinator.com web.archive.org www.amazon.com www.booking.com www.ebay.com www.goodreads.com www.imdb.com www.nytimes.com www.pinterest.com "
+    "www.reddit.com www.target.com www.tripadvisor.com www.walmart.com".split()
+)
 
 
 @dataclass
@@ -24,7 +29,14 @@ class Settings:
     page_batch_rows: int = 1024
     stats_batch_rows: int = 7500
     flush_seconds: int = 4
-    index_path: str = "index"
+    data_path: str = "data"
+    keep_indexes: int = 2
+    show_crawl_stats: bool = False
+    show_index_stats: bool = False
+    host: str = "127.0.0.1"
+    port: int = 8000
+    allowed_origins: list[str] = field(default_factory=lambda: ["http://localhost:3000"])
+    requests_a_minute: int = 100
     seeds: list[str] = field(default_factory=lambda: list(SEEDS))
 
     @classmethod
@@ -33,7 +45,7 @@ class Settings:
         for name, value in vars(out).items():
             raw = environ.get(f"LOAM_{name.upper()}")
             if raw is not None:
-                setattr(out, name, raw.split(",") if isinstance(value, list) else type(value)(raw))
+                setattr(out, name, raw.split(",") if isinstance(value, list) else raw.lower() in ("1", "true", "yes") if isinstance(value, bool) else type(value)(raw))
         return out
 
 
