@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.let import let
+from loam.runtime import materialise
 
 
 def filter_map(array: Column, value: Callable[[Column, Column], Column], keep: Callable[[Column, Column], Column]) -> Column:
@@ -44,6 +45,29 @@ def union(a: Column, b: Column) -> Column:
     return F.concat(small, F.array_except(large, small))
 
 
+def numbered(df: DataFrame, order: str, name: str) -> tuple[DataFrame, int]:
+    """df with a column that numbers its rows from 0 in order, and how many there are.
+
+    Rows are ranged into parts whose sizes are summed first, so no task sees all of them; equal rows of order
+    are numbered in any order, nulls first.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = materialise(df.repartitionByRange(parts, order).withColumn("__part", F.spark_partition_id()))
+    sizes = {r["__part"]: r["count"] for r in df.groupBy("__part").count().collect()}
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    base = df.sparkSession.createDataFrame(before, "__part int, __base long")
+    turn = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    return df.join(F.broadcast(base), "__part").withColumn(name, turn + F.col("__base")).drop("__part", "__base"), total
+
+
 def split_into_chunks(df: DataFrame, n: int, order: str) -> DataFrame:
     """df with chunk 1..n: the first (rows mod n) chunks have one row more."""
-    return df.withColumn("chunk", F.ntile(n).over(Window.orderBy(order)))
+    out, total = numbered(df, order, "__row")
+    size, more = divmod(total, n)
+    i = F.col("__row")
+    late = F.lit(0) if not size else more + F.floor((i - more * (size + 1)) / size)
+    chunk = F.when(i < more * (size + 1), F.floor(i / (size + 1))).otherwise(late)
+    return out.withColumn("chunk", (chunk + 1).cast("int")).drop("__row")

@@ -2,33 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _middle(a: Column) -> Column:
-    """Median of a sorted array of integers; 0 for none; of an even number the truncated mean of the middle two."""
-    n = F.size(a)
-    two = F.get(a, (n / 2).cast("int") - 1) + F.get(a, (n / 2).cast("int"))
-    return F.when(n == 0, F.lit(0).cast("long")).when(n % 2 == 1, F.get(a, ((n - 1) / 2).cast("int"))).otherwise((two / 2).cast("long"))
-
-
 def box_plot(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """samples, smallest, q1, median, q3, largest, iqr, below, above of an integer column.
 
-    Quartiles are medians of the halves, the middle of an odd number left out.
+    Quartiles are medians of the halves, the middle of an odd number left out; of an even number of values the
+    median is the truncated mean of the middle two, of none 0.  Only distinct values and their counts are ordered.
     """
-    grouped = df.where(F.col(value).isNotNull()).groupBy(*(by or [])).agg(F.sort_array(F.collect_list(F.col(value).cast("long"))).alias("__v"))
-    v, n = F.col("__v"), F.size("__v")
-    half = (n / 2).cast("int")
-    out = grouped.where(n > 0).select(
-        *(by or []), "__v", n.cast("long").alias("samples"), F.get(v, F.lit(0)).alias("smallest"), _middle(F.slice(v, F.lit(1), half)).alias("q1"), _middle(v).alias("median"),
-        _middle(F.slice(v, ((n + 1) / 2).cast("int") + 1, half)).alias("q3"), F.element_at(v, -1).alias("largest"),
-    )
-    out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
-    for name, test in (("below", lambda x: x < F.col("median")), ("above", lambda x: x > F.col("median"))):
-        out = out.withColumn(name, F.size(F.filter("__v", test)).cast("long"))
-    return out.drop("__v")
+    by = by or []
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("long").alias("__v")).agg(F.count("*").alias("__n"))
+    upto = Window.partitionBy(*by).orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = counts.withColumns({"__to": F.sum("__n").over(upto), "__all": F.sum("__n").over(Window.partitionBy(*by))})
+    v, n = F.col("__v"), F.col("__all")
+
+    def at(i: Column) -> Column:
+        return F.max(F.when((F.col("__to") - F.col("__n") <= i) & (i < F.col("__to")), v))
+
+    def middle(first: Column, size: Column) -> Column:
+        low, high = at(first + F.floor((size - 1) / 2)), at(first + F.floor(size / 2))
+        return F.coalesce(((low + high) / 2).cast("long"), F.lit(0).cast("long"))
+
+    half = F.floor(n / 2)
+    out = counts.groupBy(*by).agg(
+        F.sum("__n").alias("samples"), F.min(v).alias("smallest"), middle(F.lit(0), half).alias("q1"), middle(F.lit(0), n).alias("median"), middle(F.floor((n + 1) / 2), half).alias("q3"), F.max(v).alias("largest")
+    )
+    out = out.where("samples > 0").withColumn("iqr", F.col("q3") - F.col("q1"))
+    keys = [F.col(c).alias(f"__{c}") for c in by]
+    sides = counts.select(*keys, v.alias("__v"), F.col("__n")).join(out, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by]) if by else counts.select("__v", "__n").crossJoin(out)
+    return sides.groupBy(*out.columns).agg(*[F.sum(F.when(test, F.col("__n")).otherwise(0)).alias(name) for name, test in (("below", F.col("__v") < F.col("median")), ("above", F.col("__v") > F.col("median")))])
 
 
 def counters(df: DataFrame, **conditions: Column) -> DataFrame:

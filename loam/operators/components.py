@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.runtime import materialise
+from loam.runtime import materialise, release
 
 MAX_ROUNDS = 50
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             break
         state = tuple(seen)
-        e = materialise(_rounds(e))
+        last, e = e, materialise(_rounds(e))
+        release(last)
     else:
         raise RuntimeError("components did not settle")
     roots = e.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

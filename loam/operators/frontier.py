@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.urls import BLACKLIST, drop_blacklisted, host, normalize
+from loam.runtime import materialise
 
 COOLDOWN_SECONDS = 2
 
@@ -23,8 +24,9 @@ def admit(links: DataFrame, known: DataFrame, queue: DataFrame, per_host: int, p
     have = queue.groupBy("host").agg(F.count("*").alias("have"))
     turn = F.row_number().over(Window.partitionBy("host").orderBy("queued_at", "url"))
     new = new.join(have, "host", "left").withColumn("turn", turn).where(F.col("turn") + F.coalesce("have", F.lit(0)) <= per_host)
+    new = materialise(new.select("url", "host", "queued_at"))
     room = max(0, pending - queue.count())
-    return new.orderBy("queued_at", "url").limit(room).select("url", "host", "queued_at")
+    return new if new.count() <= room else new.orderBy("queued_at", "url").limit(room)
 
 
 def host_capped(urls: DataFrame, cap: int) -> DataFrame:

@@ -33,10 +33,12 @@ def build_session(app: str = "loam", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor can reach.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and has one machine (tests) a temporary folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="loam-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/loam-{uuid.uuid4().hex}"
@@ -47,7 +49,14 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loam_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what materialise wrote for df; only for a df that nothing unwritten still reads."""
+    drop_folder(df.sparkSession, df._loam_path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -139,6 +139,30 @@ def test_box_plot(spark):
     assert [tuple(x) for x in stats.as_table(stats.counters(df, big=F.col("v") > 4)).collect()] == [("big", "3")]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 6, 7, 8])
+def test_box_plot_is_brute_force_s(spark, n):
+    r = random.Random(n)
+    vs = sorted(r.randrange(6) for _ in range(n))
+
+    def mid(x):
+        return 0 if not x else x[len(x) // 2] if len(x) % 2 else (x[len(x) // 2 - 1] + x[len(x) // 2]) // 2
+
+    got = stats.box_plot(spark.createDataFrame([(None, v) for v in vs] + [("k", 3)], "g string, v long"), "v", ["g"]).collect()
+    assert sorted(x.samples for x in got) == ([1, n] if n else [1])
+    for x in got:
+        if x.g is None:
+            m, q1, q3 = mid(vs), mid(vs[: n // 2]), mid(vs[(n + 1) // 2 :])
+            assert tuple(x)[1:] == (n, vs[0], q1, m, q3, vs[-1], q3 - q1, sum(v < m for v in vs), sum(v > m for v in vs))
+
+
+@pytest.mark.parametrize("rows,n", [(0, 3), (2, 5), (10, 4), (1000, 7), (7, 7)])
+def test_chunks_are_even_and_in_order(spark, rows, n):
+    got = collections.split_into_chunks(spark.range(rows), n, "id").orderBy("id").collect()
+    size, more = divmod(rows, n)
+    want = [c + 1 for c in range(n) for _ in range(size + (c < more))]
+    assert [r.chunk for r in got] == want
+
+
 def test_chunks(spark):
     sizes = [r["count"] for r in collections.split_into_chunks(spark.range(10), 4, "id").groupBy("chunk").count().orderBy("chunk").collect()]
     assert sizes == [3, 3, 2, 2]

@@ -104,6 +104,8 @@ def test_near_fingerprints_are_brute_force_s(spark):
     near = lambda a, b, d=3: ((a ^ b) & (2**64 - 1)).bit_count() <= d
     want = {(i, j) for i, j in combinations(range(len(fps)), 2) if near(fps[i], fps[j])}
     assert {tuple(x) for x in lsh.near_pairs(prints).collect()} == want
+    few, many = lsh.near_fingerprints(prints), lsh.near_fingerprints(prints, few=10)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) and lsh.bands(prints, 6).groupBy("fp").count().first()["count"] == 20
     assert {tuple(x) for x in connected_components(lsh.page_edges(prints)).collect()} == {tuple(x) for x in connected_components(spark.createDataFrame(sorted(want), "a long, b long")).collect()}
     with pytest.raises(ValueError):
         lsh.near_fingerprints(prints, 4)
