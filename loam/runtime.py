@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
+#: Rows of texts or pages that go to a Python worker at once.
+TEXT_ROWS = 1000
 
 
 def build_session(app: str = "loam", master: str | None = None, **conf: str) -> SparkSession:
@@ -72,3 +74,10 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     df should be materialised: the count is then read from Parquet footers.
     """
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From here on in the session Arrow batches have TEXT_ROWS rows at most, so that long texts fit a worker; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, TEXT_ROWS)

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loam.functions.simhash import simhash
+from loam.functions.simhash import fingerprint
 from loam.functions.urls import host, normalize, resolve_one
+from loam.runtime import text_batches
 from loam.schemas import PAGE, PARSED
 
 MAX_BYTES, MAX_LINKS = 10 << 20, 100
@@ -108,18 +111,25 @@ def admitted_type(content_type):
 
 def parse_pages(pages: DataFrame, int8_wrap: bool = False) -> DataFrame:
     """pages(page_id, url, html [, status_code, fetched_at]) as the PAGE table; oversized pages are left out."""
+    text_batches(pages.sparkSession)
     kind = pa.struct([(f.name, pa.list_(pa.string()) if f.name == "links" else pa.bool_() if f.dataType.simpleString() == "boolean" else pa.string()) for f in PARSED])
 
-    def run(html: pa.Array, url: pa.Array, status: pa.Array) -> pa.Array:
-        return pa.array([parse_page(*x) for x in zip(html.to_pylist(), url.to_pylist(), status.to_pylist())], kind)
+    def run(batches):
+        # one opaque step: as an expression, filters on what it gives would have pages parsed again
+        for b in batches:
+            rows = [parse_page(*x) for x in zip(b["html"].to_pylist(), b["url"].to_pylist(), b["status_code"].to_pylist())]
+            b = b.drop_columns("html").filter(pa.array([r is not None for r in rows], pa.bool_()))
+            rows = [r for r in rows if r is not None]
+            prints = np.array([fingerprint(r["text"], int8_wrap) for r in rows], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *pa.array(rows, kind).flatten(), pa.array(prints)], [*b.schema.names, *[f.name for f in kind], "content_hash"])
 
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
-    p = pages.select("page_id", "url", status.cast("int").alias("status_code"), at.alias("crawled_at"), F.arrow_udf(run, PARSED)("html", "url", status.cast("int")).alias("p")).where("p IS NOT NULL")
-    p = p.select("page_id", "url", "status_code", "crawled_at", "p.*")
+    p = pages.select("page_id", "url", "html", status.cast("int").alias("status_code"), at.alias("crawled_at"))
+    p = p.mapInArrow(run, T.StructType([f for f in p.schema if f.name != "html"] + PARSED.fields + [T.StructField("content_hash", T.LongType())]))
     canonical = normalize(F.col("found_canonical"))
     values = {
-        "request_url": F.col("url"), "final_url": F.col("url"), "host": host(F.col("url")), "content_hash": simhash(F.col("text"), int8_wrap),
+        "request_url": F.col("url"), "final_url": F.col("url"), "host": host(F.col("url")),
         "found_canonical": F.when(canonical != "", canonical), "resolved_canonical": F.lit(False), "duplicate_of": F.lit(None).cast("long"),
     }
     for name in ("og_title", "favicon"):
