@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loam.functions import collections, stats, text, urls
+from loam.functions import bloom, collections, stats, text, urls
 from loam.functions.simhash import simhash
 from loam.operators import canonical, frontier, index, lsh, rank
 from loam.operators.components import connected_components
+from loam.plans import store
 from loam.runtime import materialise
 from loam.sources import tables
-from loam.sources.html import parse_pages
+from loam.sources.html import admitted_type, parse_pages
 from loam.streaming import frontier as streaming
 
 _Q: dict = {}
@@ -168,9 +169,62 @@ def array_helpers(conv):
     return conv.select("conv_id", "turn", F.size(collections.intersection(a, b)).alias("shared"), F.size(collections.union(a, b)).alias("either"))
 
 
+@query("documents", f"WITH {_TF} SELECT term, string_agg(page_id::VARCHAR || ':' || freq::VARCHAR, ' ' ORDER BY page_id) AS postings FROM p GROUP BY term")
+def posting_lists(docs):
+    lists = index.posting_lists(index.postings(index.field_tokens(_as_pages(docs), stemmed=False)))
+    return lists.select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["page_id"].cast("string"), p["freq"].cast("string"))), " ").alias("postings"))
+
+
+@query(
+    "documents",
+    f"""WITH {_TF}, {_LEN}, {_META}, d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT document_count, total_token_count, average_doc_length, (SELECT count(*) FROM p) AS postings, (SELECT sum(freq)::BIGINT FROM p) AS occurrences, 0::BIGINT AS title_postings, 0::BIGINT AS domain_postings,
+(SELECT count(*) FROM d) AS terms, (SELECT max(df) FROM d) AS most_pages_of_a_term, (SELECT count(*) FROM d WHERE df = 1) AS terms_of_one_page FROM m""",
+)
+def index_counters(docs):
+    return store.index_summary(index.build_index(_as_pages(docs), stemmed=False))
+
+
+@query("events", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
+def last_of_each_key(events):
+    e = events.select("user_id", "event_id", "event_type")
+    return collections.last_wins(e.withColumn("at", F.col("event_id")), "user_id", "at").select("user_id", "event_id", "event_type")
+
+
+_Q["bloom_anti"] = lambda s, d: _unlabelled(_read(s, d, "documents"), _read(s, d, "labels"))
+_SQL["bloom_anti"] = "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+
+
+def _unlabelled(docs, labels):
+    """Documents without a label: those the filter can't rule out go through the exact anti join."""
+    key = labels.select(F.col("doc_id").cast("string").alias("key"))
+    filter_ = bloom.build(key, "key", max(1, labels.count()))
+    d = docs.select("doc_id", "lang").withColumn("maybe", bloom.maybe_contains(filter_, F.col("doc_id").cast("string")))
+    d = materialise(d)
+    return d.where("NOT maybe").drop("maybe").unionByName(d.where("maybe").drop("maybe").join(labels.select("doc_id"), "doc_id", "left_anti"))
+
+
 # pages ---------------------------------------------------------------------------------------------------
 
 
+@query("pages", "SELECT page_id, regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1) LIKE 'en%' AS in_english FROM pages")
+def english_pages(pages):
+    return parse_pages(pages).select("page_id", "in_english")
+
+
+_TYPE = "CASE event_id % 5 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'TEXT/PLAIN' WHEN 2 THEN 'image/png' WHEN 3 THEN 'application/pdf' END"
+
+
+@query("events", "SELECT event_id, event_id % 5 IN (0, 1, 3) AS admitted FROM events")
+def content_types(events):
+    return events.select("event_id", admitted_type(F.expr(_TYPE)).alias("admitted"))
+
+
+@query("events", "SELECT event_id, event_id % 400 < 256 AS is_ip FROM events")
+def ip_literals(events):
+    return events.select("event_id", urls.is_ip(F.concat(F.lit("10.0."), (F.col("event_id") % 400).cast("string"), F.lit(".1"))).alias("is_ip"))
+
+
 @query("pages", "SELECT page_id, replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&') || ' ' AS title FROM pages")
 def page_titles(pages):
     return parse_pages(pages).select("page_id", "title")
@@ -267,6 +321,17 @@ def hamming_pairs(emb):
     return lsh.near_pairs(_sign_prints(emb), 1)
 
 
+@query("embeddings", "SELECT page_id * 2654435761 AS fp, band::INT AS band, (page_id * 2654435761 >> (16 * band)) & 65535 AS chunk FROM (SELECT DISTINCT vec_id AS page_id FROM embeddings), (SELECT unnest(range(4)) AS band)")
+def fingerprint_bands(emb):
+    return lsh.bands(emb.select((F.col("vec_id") * 2654435761).alias("fp")))
+
+
+@query("embeddings", f"WITH {_SIGNS} SELECT page_id FROM f x WHERE page_id % 2 = 1 AND EXISTS (SELECT 1 FROM f y WHERE y.page_id % 2 = 0 AND bit_count(xor(x.fp, y.fp)) <= 1)")
+def known_fingerprints(emb):
+    f = _sign_prints(emb)
+    return lsh.already_known(f.where("page_id % 2 = 1"), f.where("page_id % 2 = 0"), 1).select("page_id")
+
+
 @query("embeddings", f"WITH RECURSIVE {_SIGNS}, e AS ({_PAIRS}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS root FROM r GROUP BY node")
 def near_components(emb):
     return connected_components(lsh.page_edges(_sign_prints(emb), 1))
@@ -365,6 +430,18 @@ def host_stats(pages):
     return frontier.frontier_stats(queue, _hosts(pages), F.timestamp_seconds(F.lit(100)))
 
 
+@query("pages", f"WITH {_HOSTS} SELECT host, make_timestamp(CASE WHEN dispatched > 1 THEN greatest(until, 102) ELSE until END * 1000000) AT TIME ZONE 'UTC' AS next_eligible_at FROM hs")
+def host_cooldown(pages):
+    hosts = _hosts(pages)
+    return frontier.cooled(hosts.where("dispatched > 1"), hosts, F.timestamp_seconds(F.lit(100)), 2)
+
+
+@query("pages", f"SELECT DISTINCT {NORM.replace('url', 'link')} AS url FROM (SELECT regexp_extract(url, '^([a-z]+://[^/]+)', 1) || replace(l, '&amp;', '&') AS link FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=\"(/[^\"]*)\"', 1)) AS l FROM pages)) EXCEPT SELECT {NORM} FROM pages")
+def new_links(pages):
+    nothing = pages.sparkSession.createDataFrame([], "url string")
+    return frontier.complete(materialise(parse_pages(pages)), nothing)[1]
+
+
 @query(
     "events",
     """WITH e AS (SELECT event_type, (value * 1000)::BIGINT AS v FROM events WHERE value IS NOT NULL), a AS (SELECT event_type, list_sort(list(v)) AS v, count(*) AS n FROM e GROUP BY 1),
