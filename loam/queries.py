@@ -299,12 +299,13 @@ def simhash_fingerprints(docs):
 
 
 def _doc_prints(docs):
-    return docs.select(F.col("doc_id").alias("page_id"), simhash(F.concat(text.collapse(F.col("text")), F.lit(" "))).alias("fp")).where("fp <> 0")
+    # filtered only once written: a filter below the write would have every text hashed twice
+    return materialise(docs.select(F.col("doc_id").alias("page_id"), simhash(F.concat(text.collapse(F.col("text")), F.lit(" "))).alias("fp"))).where("fp <> 0")
 
 
 @query("documents")
 def simhash_clusters(docs):
-    return connected_components(lsh.page_edges(materialise(_doc_prints(docs))))
+    return connected_components(lsh.page_edges(_doc_prints(docs)))
 
 
 def _sign_prints(emb):
