@@ -159,7 +159,8 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t) of all rows of docs that have words, and (node, root) of texts near to another."""
-    sketch = materialise(_sketch(docs, n, bands, rows).where(F.size("keys") > 0))
+    # filtered only once written: a filter below the write would have every text sketched twice
+    sketch = materialise(_sketch(docs, n, bands, rows)).where(F.size("keys") > 0)
     texts = docs.select(F.xxhash64("text").alias("t"), "text")
     one = sketch.groupBy("t").agg(F.first("keys").alias("keys"))
     buckets = one.select("t", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1)
