@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.words import shingles, text_slices, word_hashes
+from loam.runtime import text_batches
 
 SHINGLE, CONTAINMENT = 5, 0.6
 ITEM_BYTES = 8 << 20
@@ -164,6 +165,7 @@ def _rarity(docs: DataFrame, items: Items) -> dict[int, int]:
 
 def _matchers(docs: DataFrame, benchmark: DataFrame, containment: float, n: int, item_bytes: int):
     """For each batch of items a UDF of text, and the batch's items."""
+    text_batches(docs.sparkSession)
     for part in _batches(benchmark, item_bytes):
         t = part.toArrow()
         items = Items(t["item_id"].to_pylist(), t["text"].to_pylist(), n)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.llm.words import text_slices, word_hashes
-from loam.runtime import materialise
+from loam.runtime import materialise, text_batches
 
 SHARD_TOKENS, QUERY_BYTES, ALPHA = 1_000_000, 4 << 20, 1.0
 _INDEX = "n long, vocabulary binary, tokens binary, suffixes binary"
@@ -96,6 +96,7 @@ def build_index(corpus: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFram
         if have:
             yield pa.RecordBatch.from_pylist([_shard(words, rows)], schema)
 
+    text_batches(corpus.sparkSession)
     return materialise(corpus.select("text").mapInArrow(build, _INDEX))
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loam.llm.words import mix, shingles, text_slices, word_hashes
 from loam.operators.components import connected_components
-from loam.runtime import materialise, small_side
+from loam.runtime import materialise, small_side, text_batches
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 3, 36, 4, 0.5
 _U = np.uint64
@@ -159,6 +159,7 @@ def _sketch(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, t) of all rows of docs that have words, and (node, root) of texts near to another."""
+    text_batches(docs.sparkSession)
     # filtered only once written: a filter below the write would have every text sketched twice
     sketch = materialise(_sketch(docs, n, bands, rows)).where(F.size("keys") > 0)
     texts = docs.select(F.xxhash64("text").alias("t"), "text")
