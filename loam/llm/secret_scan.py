@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loam.runtime import text_batches
+
 MAX_UNPACKED = 64 << 20
 
 #: rule, literals of which one must be there (None: a quote), pattern; group 1 is the secret if there is one.
@@ -38,7 +40,7 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("forge_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"(?<![A-Za-z0-9])(gh[pousr]_[A-Za-z0-9]{36,255})(?![A-Za-z0-9])")),
     ("chat_token", ("xox",), re.compile(r"(?<![A-Za-z0-9])(xox[abprs]-[A-Za-z0-9-]{10,250})")),
     ("api_key", ("AIza",), re.compile(r"(?<![A-Za-z0-9])(AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])")),
-    ("signed_token", ("eyJ",), re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096})")),
+    ("signed_token", ("eyJ",), re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{4,4096}\.eyJ[A-Za-z0-9_-]{4,4096}\.[A-Za-z0-9_-]{8,4096})")),
     ("payment_key", ("k_live_",), re.compile(r"(?<![A-Za-z0-9])([sr]k_live_[0-9A-Za-z]{16,250})")),
     ("url_password", ("://",), re.compile(r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,64}:([^\s:/@]{3,128})@")),
 ]
@@ -47,6 +49,7 @@ _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 _PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_LATIN = re.compile(r"[\x00-\xff]+")
 _FOUND = T.ArrayType(T.StructType().add("rule", "string").add("start", "integer").add("end", "integer").add("layers", "string").add("digest", "string"))
 
 
@@ -168,7 +171,7 @@ def _base64(layer: Layer) -> list[Layer]:
     return out
 
 
-def _unpack(raw: bytes, limit: int) -> tuple[str, bytes, int, bool] | None:
+def _unpack(raw: memoryview, limit: int) -> tuple[str, bytes, int, bool] | None:
     """Kind, content, bytes of raw used, and whether it was stopped at the limit."""
     try:
         if raw[:2] == b"\x1f\x8b" or raw[:1] == b"x":
@@ -190,18 +193,20 @@ def _unpack(raw: bytes, limit: int) -> tuple[str, bytes, int, bool] | None:
 
 
 def _packed(layer: Layer, limit: int) -> tuple[list[Layer], bool]:
-    out, stopped, at = [], False, 0
-    while m := _PACKED.search(layer.text, at):
-        at = m.end()
-        stop = next((i for i in range(m.start(), len(layer.text)) if ord(layer.text[i]) > 255), len(layer.text))
-        got = _unpack(layer.text[m.start() : stop].encode("latin-1"), limit)
-        if got and got[1]:
-            kind, raw, used, cut = got
-            stopped |= cut
-            text, _ = _characters(raw, [(0, 0)] * len(raw))
-            out.append(layer.cut(m.start(), m.start() + used, text, None, kind))
-            limit = max(1, limit - len(raw))
-            at = max(at, m.start() + used)
+    out, stopped = [], False
+    for part in _LATIN.finditer(layer.text):
+        text, base, at = part.group(), part.start(), 0
+        data = memoryview(text.encode("latin-1"))
+        while m := _PACKED.search(text, at):
+            at = m.end()
+            got = _unpack(data[m.start() :], limit)
+            if got and got[1]:
+                kind, raw, used, cut = got
+                stopped |= cut
+                new, _ = _characters(raw, [(0, 0)] * len(raw))
+                out.append(layer.cut(base + m.start(), base + m.start() + used, new, None, kind))
+                limit = max(1, limit - len(raw))
+                at = max(at, m.start() + used)
     return out, stopped
 
 
@@ -248,4 +253,5 @@ def _scan(texts: pa.Array) -> pa.Array:
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, rule, start, end (in characters of text), layers (encodings unwrapped, outermost first), digest (SHA-256): one row a finding."""
+    text_batches(docs.sparkSession)
     return docs.select("doc_id", F.explode(_scan(F.col("text"))).alias("f")).select("doc_id", "f.*")

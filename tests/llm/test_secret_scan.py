@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import lzma
 import random
+import time
 import urllib.parse
 import zlib
 
@@ -76,6 +77,13 @@ def test_packed_layers_round_trip():
     assert scan_text("u " + "".join(f"%{b:02x}" for b in gzip.compress(PLAIN.encode())))[0]["layers"] == "url>gzip"
 
 
+def test_false_heads_of_streams_cost_little():
+    text = url("é 漢") + " x^2 + x^3" * 100_000 + url(" end")
+    began = time.process_time()
+    assert scan_text(text) == [] and time.process_time() - began < 20
+    assert [f["rule"] for f in scan_text("".join(f"%{b:02x}" for b in "漢 x^2 ".encode() + b"\xff") + b64(zlib.compress(PLAIN.encode())))] == ["cloud_key_id"]
+
+
 def test_both_base64_alphabets():
     secret = 'password = "ÿþý?>~~~ööö"'.replace(" ", "_") + ' token="abcdefgh12345"'
     assert {f["rule"] for f in scan_text("q=" + b64url(secret))} == {"assigned_secret"}
