@@ -1,7 +1,7 @@
 """Line dedup by a sharded minimal perfect hash over the distinct lines' hashes.
 
 Lines are compared trimmed of spaces; blank lines are never judged.  The documents' distinct line hashes
-are counted, sharded, and each shard is turned into a minimal perfect hash (levels of bit arrays with a
+are counted, sharded by SHARD_LINES, and each shard is turned into a minimal perfect hash (levels of bit arrays with a
 rank directory) that indexes an array of 16-bit fingerprints and one of 16-bit counts of documents, about
 4.5 bytes a distinct line.  Documents then probe the arrays: a line in MIN_DOCS documents or more is
 repeated and is taken out of every document, except where repeated lines make up more than MAX_REMOVED of
@@ -19,6 +19,9 @@ document counts once; empty tables give empty results; columns whose names begin
 
 from __future__ import annotations
 
+import re
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loam.llm.words import mix
-from loam.runtime import materialise, shared_dir, small_side
+from loam.runtime import materialise, release, shared_dir, small_side
 
 MIN_DOCS, MAX_REMOVED = 5, 0.5
-LOCAL_BYTES = 64 << 20
+LOCAL_BYTES, SHARD_LINES = 64 << 20, 1 << 20
 SALTS = 16
 _U = np.uint64
 _GAMMA, _LEVELS = 2, 48
@@ -124,7 +127,7 @@ def _load(place: dict[int, str], shard: int, keep: int) -> Shard | None:
     if uri not in _loaded:
         while len(_loaded) >= keep:
             _loaded.pop(next(iter(_loaded)))
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
         with fs.open_input_file(path) as f:
             _loaded[uri] = {r["shard"]: Shard(r) for r in pq.read_table(f).to_pylist()}
     return _loaded[uri][shard]
@@ -148,15 +151,17 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def build_index(docs: DataFrame, shards: int) -> tuple[str, dict[int, str], int]:
-    """Writes the sharded arrays; their folder, each shard's file, and the bytes of all."""
+def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[dict[int, str], int, int]:
+    """Writes the sharded arrays: each shard's file, the number of shards, and the bytes of all."""
     spark = docs.sparkSession
     lines = docs.select(F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
-    counted = lines.groupBy("h").agg(F.count("*").alias("n")).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    counted = materialise(lines.groupBy("h").agg(F.count("*").alias("n")))
+    shards = max(1, -(-counted.count() // shard_lines))
     path = shared_dir(spark)
-    counted.groupBy("shard").applyInArrow(build_shard, _INDEX).write.parquet(path)
+    counted.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build_shard, _INDEX).write.parquet(path)
+    release(counted)
     rows = spark.read.schema(_INDEX).parquet(path).select("shard", F.input_file_name().alias("file"), (F.length("bits") + 4 * F.col("n") + F.length("rest")).alias("bytes")).collect()
-    return path, {r.shard: r.file for r in rows}, sum(r.bytes for r in rows)
+    return {r.shard: sys.intern(r.file) for r in rows}, shards, sum(r.bytes for r in rows)
 
 
 def _as_list(like: pa.Array, values: np.ndarray) -> pa.Array:
@@ -199,12 +204,11 @@ def _among(keys: pa.Array, bad: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.bool_()))
 
 
-def flag_lines(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def flag_lines(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
     """docs with __loam_repeated: for each line whether it is repeated, null for a null text."""
     if not 1 <= min_docs <= 65535:
         raise ValueError("counts are kept up to 65535")
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    _, place, size = build_index(docs, shards)
+    place, shards, size = build_index(docs, shard_lines)
     if size <= local_bytes:
         return docs.withColumn("__loam_repeated", _flags_local(place, shards, min_docs)(line_keys(F.col("text"))))
     bad = materialise(_flags_routed(docs, place, shards, min_docs))
@@ -214,9 +218,9 @@ def flag_lines(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOC
     return keyed.withColumn("__loam_repeated", _among(line_keys(F.col("text")), F.col("__loam_bad"))).drop("__loam_k1", "__loam_k2", "__loam_bad")
 
 
-def _judged(docs: DataFrame, min_docs: int, max_removed: float, local_bytes: int) -> DataFrame:
+def _judged(docs: DataFrame, min_docs: int, max_removed: float, local_bytes: int, shard_lines: int) -> DataFrame:
     """docs with __loam_text, the new text, __loam_n, __loam_hit and __loam_gone: lines not blank, repeated, removed."""
-    d = flag_lines(docs, min_docs, local_bytes).withColumn("__loam_lines", F.split("text", "\\n"))
+    d = flag_lines(docs, min_docs, local_bytes, shard_lines).withColumn("__loam_lines", F.split("text", "\\n"))
     sizes = lambda cond: F.aggregate(F.filter("__loam_lines", cond), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     hit = lambda i: F.get("__loam_repeated", i)
     d = d.withColumns({
@@ -231,15 +235,15 @@ def _judged(docs: DataFrame, min_docs: int, max_removed: float, local_bytes: int
     return d.withColumn("__loam_text", F.when(F.col("__loam_gone") > 0, F.array_join(F.filter("__loam_lines", lambda x, i: ~hit(i)), "\n")).otherwise(F.col("text")))
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
     """doc_id, text (without repeated lines), n_lines, n_repeated, n_removed: one row a document."""
-    d = _judged(docs.select("doc_id", "text"), min_docs, max_removed, local_bytes)
+    d = _judged(docs.select("doc_id", "text"), min_docs, max_removed, local_bytes, shard_lines)
     return d.select("doc_id", F.col("__loam_text").alias("text"), F.col("__loam_n").alias("n_lines"), F.col("__loam_hit").alias("n_repeated"), F.col("__loam_gone").alias("n_removed"))
 
 
-def dedup_lines_in_place(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES) -> DataFrame:
+def dedup_lines_in_place(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
     """docs with its own columns, text without repeated lines, and n_chars, if there is one, of the new text."""
-    d = _judged(docs, min_docs, max_removed, local_bytes)
+    d = _judged(docs, min_docs, max_removed, local_bytes, shard_lines)
     new = {"text": F.col("__loam_text"), "n_chars": F.length("__loam_text").cast("long")}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 

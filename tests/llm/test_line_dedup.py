@@ -27,9 +27,9 @@ def brute(texts, min_docs, max_removed):
 TEXTS = ODD + [f"own line {i} that is longer than the rest\nshared\n shared \nrare {i // 4}" for i in range(12)] + ["copy one\ncopy two"] * 6
 
 
-@pytest.mark.parametrize("local_bytes", [1 << 20, 0])
-def test_against_brute_force_by_both_ways(docs, local_bytes):
-    got = sorted(map(tuple, dedup_lines(docs(TEXTS), 4, 0.5, local_bytes).collect()))
+@pytest.mark.parametrize("local_bytes,shard_lines", [(1 << 20, 1 << 20), (0, 1 << 20), (1 << 20, 5), (0, 5)])
+def test_against_brute_force_by_both_ways(docs, local_bytes, shard_lines):
+    got = sorted(map(tuple, dedup_lines(docs(TEXTS), 4, 0.5, local_bytes, shard_lines).collect()))
     assert got == sorted((i, *r) for i, r in enumerate(brute(TEXTS, 4, 0.5)))
 
 
