@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loam.llm.words import text_slices, word_hashes
 from loam.runtime import materialise, text_batches
 
-SHARD_TOKENS, QUERY_BYTES, ALPHA = 1_000_000, 4 << 20, 1.0
+SHARD_TOKENS, QUERY_BYTES, ALPHA = 500_000, 4 << 20, 1.0
 _INDEX = "n long, vocabulary binary, tokens binary, suffixes binary"
 _COUNTS = "q int, s int, e int, n long"
 
