@@ -53,6 +53,24 @@ def price(duals: np.ndarray, size: int) -> tuple[float, dict[int, int]]:
     return float(best[size]), dict(pattern)
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By Gauss-Jordan elimination: threaded linear algebra libraries can hang in a driver that has started a JVM."""
+    n = len(matrix)
+    a = np.hstack([matrix, np.eye(n)])
+    for i in range(n):
+        k = i + int(np.argmax(np.abs(a[i:, i])))
+        a[[i, k]] = a[[k, i]]
+        a[i] /= a[i, i]
+        rest = a[:, i].copy()
+        rest[i] = 0.0
+        a -= np.multiply.outer(rest, a[i])
+    return a[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
 def solve_patterns(demand: dict[int, int], size: int, tolerance: float = 1e-7, rounds: int = 20_000) -> tuple[list[tuple[dict[int, int], float]], float]:
     """Patterns and their fractional uses that meet the demand with the least sequences, and that least number.
 
@@ -70,8 +88,8 @@ def solve_patterns(demand: dict[int, int], size: int, tolerance: float = 1e-7, r
     for j, p in enumerate(basis):
         for c, k in p.items():
             matrix[row[c], j] = k
-    inverse = np.linalg.inv(matrix)
-    x = inverse @ d
+    inverse = _inverse(matrix)
+    x = _times(inverse, d)
     for turn in range(rounds):
         y = inverse.sum(axis=0)
         duals = np.zeros(size + 1)
@@ -84,7 +102,7 @@ def solve_patterns(demand: dict[int, int], size: int, tolerance: float = 1e-7, r
         column = np.zeros(m)
         for c, k in pattern.items():
             column[row[c]] = k
-        u = inverse @ column
+        u = _times(inverse, column)
         can = np.flatnonzero(u > 1e-9)
         ratio = x[can] / u[can]
         out = int(can[np.argmin(ratio)])
@@ -95,11 +113,11 @@ def solve_patterns(demand: dict[int, int], size: int, tolerance: float = 1e-7, r
         matrix[:, out] = column
         basis[out] = pattern
         if turn % 50 == 49:
-            inverse = np.linalg.inv(matrix)
-            x = np.maximum(inverse @ d, 0.0)
+            inverse = _inverse(matrix)
+            x = np.maximum(_times(inverse, d), 0.0)
         else:
             pivot = inverse[out] / u[out]
-            inverse = inverse - np.outer(u, pivot)
+            inverse = inverse - np.multiply.outer(u, pivot)
             inverse[out] = pivot
     return [(p, float(v)) for p, v in zip(basis, x) if v > 1e-9], float(x.sum())
 

@@ -77,6 +77,11 @@ def test_bound_is_the_linear_program_s():
     assert abs(bound - 150) < 1e-6 and sum(n for _, n in plan) == 150
 
 
+def test_inverse():
+    a = np.random.default_rng(5).integers(0, 4, (60, 60)).astype(float) + np.eye(60)[::-1] * 9
+    assert np.allclose(packing._inverse(a) @ a, np.eye(60))
+
+
 def test_prices_are_the_best_knapsack():
     r = random.Random(3)
     for _ in range(30):
