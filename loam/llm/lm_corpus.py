@@ -1,0 +1,293 @@
+"""Scores of every document by the whole corpus that it is part of: the numbers that lm_score gives for the corpus
+as queries of its own index, in work that follows the corpus.
+
+A document is in its corpus, so each word's longest matching context is all that comes before it.  Each step from a
+context to the next longer one, which has occurred, divides what the shorter ones gave by (count + ALPHA) / ALPHA or
+more; so of the contexts of a word only those that begin at the first _starts(ALPHA) words of its document reach
+the digits of a double (60 at ALPHA 1: the rest is below 2**-60), whatever their length.  Their counts are all found:
+
+A position's counts fall as its run of words gets longer.  Every position asks for the count of its run of 1, 2, 4,
+8... words until that is 1, and then bisects each stretch between two asked lengths whose counts differ.  All
+positions with the same run ask alike and in the same round, so a count is the number of askers: hashes (64 bits)
+of the runs go to buckets, already counted by chunk, and the sums go back to the chunks.  A run that is not also
+one from a document's first words gets no answer, and its position asks for nothing longer.  Words stay where they are.
+
+Defined results: as lm_score, n_unseen 0; rows are scored each alone, so repeated rows and null ids are carried.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from loam.llm.lm_score import ALPHA, SHARD_TOKENS
+from loam.llm.words import mix, text_slices, word_hashes
+from loam.runtime import drop_folder, materialise, release, shared_dir, text_batches
+
+BUCKET_WORDS = 1 << 20
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_OPEN = ("s", "k", "c", "k2", "c2")
+
+
+def _starts(alpha: float) -> int:
+    """Contexts after which what came before is below 2**-60."""
+    return max(1, math.ceil(60 * math.log(2) / math.log1p(1 / alpha))) if alpha > 0 else 1
+
+
+def _file(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def _put(path: str, columns: dict[str, np.ndarray]) -> None:
+    """A task that runs again writes the same; a file appears whole."""
+    fs, p = _file(path)
+    fs.create_dir(p.rpartition("/")[0], recursive=True)
+    part = f"{p}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(part) as f:
+        pq.write_table(pa.table(columns), f, compression="zstd")
+    fs.move(part, p)
+
+
+def _get(path: str) -> dict[str, np.ndarray] | None:
+    fs, p = _file(path)
+    if fs.get_file_info(p).type == pafs.FileType.NotFound:
+        return None
+    with fs.open_input_file(p) as f:
+        t = pq.read_table(f)
+    return {k: t[k].to_numpy() for k in t.column_names}
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    p = np.full(n, base, _U)
+    p[:1] = 1
+    return np.multiply.accumulate(p)
+
+
+class Chunk:
+    """Some documents' words, and the hash of any run of them."""
+
+    def __init__(self, row: dict):
+        self.sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+        words = np.frombuffer(row["vocabulary"], _U)[np.frombuffer(row["tokens"], np.int32)]
+        n = len(words)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.at = np.arange(n) - np.repeat(self.begin, self.sizes)
+        self.left = np.repeat(self.sizes, self.sizes) - self.at
+        self.before = np.r_[_U(0), np.cumsum(words * _powers(n, _BASE), dtype=_U)]
+        self.back = _powers(n, _INVERSE)
+
+    def hashes(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return mix((self.before[s + k] - self.before[s]) * self.back[s] ^ mix(k.astype(_U)))
+
+
+def _asked(o: dict[str, np.ndarray]) -> np.ndarray:
+    """The length that each open stretch asks for; k2 is 0 while no longer run was asked for."""
+    return np.where(o["k2"] > 0, (o["k"] + o["k2"]) // 2, np.maximum(1, 2 * o["k"]))
+
+
+def _advance(chunk: Chunk, o: dict[str, np.ndarray], runs: np.ndarray, counts: np.ndarray, starts: int) -> tuple[dict, dict]:
+    """Points (s, k, c) of document starts, and the stretches still open, from the answers; a run beyond its document occurs once."""
+    s, k, c, k2, c2 = (o[x] for x in _OPEN)
+    q = _asked(o)
+    got = np.ones(len(s), np.int64)
+    real = np.flatnonzero(q <= chunk.left[s])
+    if len(runs):
+        g = chunk.hashes(s[real], q[real])
+        at = np.minimum(np.searchsorted(runs, g), len(runs) - 1)
+        got[real] = np.where(runs[at] == g, counts[at], 1)
+    first = chunk.at[s] < starts
+    points = {"s": s[first], "k": q[first], "c": got[first]}
+    new, low, high = (k2 == 0) & (got > 1), (q - k > 1) & (got != c), (k2 - q > 1) & (got != c2)
+    zero = np.zeros(int(new.sum()), np.int64)
+    parts = [(s[new], q[new], got[new], zero, zero), (s[low], k[low], c[low], q[low], got[low]), (s[high], q[high], got[high], k2[high], c2[high])]
+    return points, dict(zip(_OPEN, (np.concatenate(x) for x in zip(*parts))))
+
+
+def _logs(chunk: Chunk, points: dict[str, np.ndarray], total: int, alpha: float, starts: int, some: int = 1 << 18) -> np.ndarray:
+    """Sum of log p of each document's words."""
+    order = np.lexsort((points["k"], points["s"]))
+    s, k, c = (points[x][order] for x in "skc")
+    doc = np.searchsorted(chunk.begin + chunk.sizes, s, side="right")
+    # beyond the last run that occurs twice every count is 1, and p is 1
+    ends = np.minimum(chunk.sizes, starts)
+    once = np.r_[s[1:] != s[:-1], True] if len(s) else np.zeros(0, bool)
+    many = np.flatnonzero(c > 1)
+    after = np.minimum(many + 1, max(len(s) - 1, 0))
+    until = np.where(once[many], chunk.left[s[many]], k[after])
+    np.maximum.at(ends, doc[many], chunk.at[s[many]] + until + 1)
+    ends = np.minimum(ends, chunk.sizes)
+    out = np.zeros(len(ends))
+    have = np.cumsum(ends + 1)
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(have, (have[i - 1] if i else 0) + some, side="right")))
+        size = ends[i:j] + 1
+        base = np.cumsum(size) - size
+        t = np.arange(int(size.sum())) - np.repeat(base, size)
+        inside = t < np.repeat(ends[i:j], size)
+        p = np.full(len(t), 1 / total)
+        a, b = np.searchsorted(doc, [i, j])
+        first, d, kk, cc = chunk.at[s[a:b]], doc[a:b] - i, k[a:b], c[a:b].astype(float)
+        by = np.argsort(first, kind="stable")
+        edges = np.searchsorted(first[by], np.arange(starts + 1))
+        for at in range(int(min(starts, ends[i:j].max(initial=0))) - 1, -1, -1):
+            own = by[edges[at] : edges[at + 1]]
+            own = own[at + kk[own] <= ends[i:j][d[own]]]
+            empty = np.flatnonzero(ends[i:j] > at)
+            where = np.r_[base[empty] + at, base[d[own]] + at + kk[own]]
+            value = np.r_[np.full(len(empty), float(total)), cc[own]]
+            sort = np.argsort(where, kind="stable")
+            where, value = where[sort], value[sort]
+            counts = np.r_[np.ones(where[0]), np.repeat(value, np.diff(np.r_[where, len(t)])), 1.0]
+            live = inside & (t >= at)
+            p[live] = ((counts[1:] + alpha * p) / (counts[:-1] + alpha))[live]
+        out[i:j] = np.add.reduceat(np.where(inside, np.log(p), 0.0), base)
+        i = j
+    return out
+
+
+def _chunks(docs: DataFrame, doc_id: str, chunk_words: int) -> DataFrame:
+    """Documents in chunks, each one row: its number, the ids, and the words as numbers in its vocabulary."""
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+
+    def cut(batches):
+        schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(id_type)), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("tokens", pa.binary())])
+        words, sizes, ids, number = [], [], [], TaskContext.get().partitionId() << 32
+
+        def row():
+            w = np.concatenate(words)
+            vocabulary, tokens = np.unique(w, return_inverse=True)
+            return pa.RecordBatch.from_pylist([{"chunk": number, "n": len(w), "ids": ids, "sizes": np.concatenate(sizes).astype(np.int32).tobytes(), "vocabulary": vocabulary.tobytes(), "tokens": tokens.astype(np.int32).tobytes()}], schema)
+
+        for b in batches:
+            for at, to, part in text_slices(b["text"]):
+                w, r = word_hashes(part)
+                words.append(w)
+                sizes.append(np.bincount(r, minlength=to - at))
+                ids += b["id"].slice(at, to - at).to_pylist()
+                if sum(map(len, words)) >= chunk_words or len(ids) >= chunk_words:
+                    yield row()
+                    words, sizes, ids, number = [], [], [], number + 1
+        if ids:
+            yield row()
+
+    id_type = to_arrow_type(docs.select(doc_id).schema[0].dataType)
+    return materialise(docs.select(F.col(doc_id).alias("id"), "text").mapInArrow(cut, f"chunk long, n long, ids array<{kind}>, sizes binary, vocabulary binary, tokens binary"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for i in range(len(b)):
+            yield {c: b[c][i].as_buffer() if pa.types.is_binary(b[c].type) else b[c][i].as_py() for c in b.schema.names}
+
+
+def _round(chunks: DataFrame, path: str, r: int, buckets: int, starts: int) -> int:
+    """One length asked for by every open stretch; how many chunks still have any."""
+
+    def ask(batches):
+        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("runs", pa.binary()), ("counts", pa.binary())])
+        for row in _rows(batches):
+            name, o = row["chunk"], None
+            if r > 1 and (o := _get(f"{path}/open{r - 1}/{name}")) is None:
+                continue
+            chunk = Chunk(row)
+            if o is None:
+                n = len(chunk.at)
+                o = dict(zip(_OPEN, (np.arange(n), *(np.zeros(n, np.int64) for _ in range(4)))))
+            if r:
+                answer = _get(f"{path}/answers{r - 1}/{name}")
+                points, o = _advance(chunk, o, answer["runs"], answer["counts"], starts)
+                if len(points["s"]):
+                    _put(f"{path}/points/{name}.{r}", {"s": points["s"].astype(np.int32), "k": points["k"].astype(np.int32), "c": points["c"]})
+                if len(o["s"]):
+                    _put(f"{path}/open{r}/{name}", {x: o[x].astype(np.int64 if x[0] == "c" else np.int32) for x in _OPEN})
+            if not len(o["s"]):
+                continue
+            s, q = o["s"], _asked(o)
+            real = q <= chunk.left[s]
+            s, q = s[real], q[real]
+            g = chunk.hashes(s, q)
+            # by bucket, the top of the hash, and within it by hash
+            by = np.argsort(g)
+            g = g[by]
+            head = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
+            n = np.diff(np.r_[head, len(g)]) * 2 + (np.maximum.reduceat((chunk.at[s[by]] < starts).astype(np.int64), head) if len(g) else 0)
+            g = g[head]
+            which = ((g >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            edge = np.searchsorted(which, np.arange(buckets + 1))
+            out = [(b, name, g[x:y].tobytes(), n[x:y].astype(np.int32).tobytes()) for b, (x, y) in enumerate(zip(edge[:-1], edge[1:])) if x < y]
+            out = out or [(0, name, b"", b"")]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types)], schema=schema)
+
+    def count(table: pa.Table) -> pa.Table:
+        runs = [np.frombuffer(x.as_buffer(), _U) for x in table["runs"]]
+        n = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"]]).astype(np.int64)
+        g = np.concatenate(runs)
+        by = np.argsort(g)
+        head = np.flatnonzero(np.r_[True, g[by][1:] != g[by][:-1]]) if len(g) else np.zeros(0, np.int64)
+        total = np.empty(len(g), np.int64)
+        if len(g):
+            size = np.diff(np.r_[head, len(g)])
+            sums, wanted = np.add.reduceat(n[by] >> 1, head), np.maximum.reduceat(n[by] & 1, head)
+            total[by] = np.repeat(np.where(wanted == 1, sums, 1), size)
+        out, at = {"chunk": table["chunk"], "runs": [], "counts": []}, 0
+        for x in runs:
+            t = total[at : at + len(x)]
+            out["runs"].append(x[t > 1].tobytes())
+            out["counts"].append(t[t > 1].tobytes())
+            at += len(x)
+        return pa.table({"chunk": out["chunk"], "runs": pa.array(out["runs"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        g, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]) for c, t in (("runs", _U), ("counts", np.int64)))
+        by = np.argsort(g)
+        _put(f"{path}/answers{r}/{table['chunk'][0].as_py()}", {"runs": g[by], "counts": n[by]})
+        return table.select(["chunk"]).slice(0, 1)
+
+    asked = chunks.mapInArrow(ask, "bucket int, chunk long, runs binary, counts binary")
+    sums = asked.groupBy("bucket").applyInArrow(count, "chunk long, runs binary, counts binary")
+    return len(sums.groupBy("chunk").applyInArrow(answer, "chunk long").collect())
+
+
+def score_corpus(docs: DataFrame, doc_id: str = "doc_id", alpha: float = ALPHA, chunk_words: int = SHARD_TOKENS, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """doc_id, n_words, log_prob (mean, natural), perplexity, n_unseen, mean_context and max_context: one row a document."""
+    spark = docs.sparkSession
+    text_batches(spark)
+    kind = docs.select(doc_id).schema[0].dataType.simpleString()
+    chunks = _chunks(docs, doc_id, chunk_words)
+    total = chunks.agg(F.sum("n")).first()[0] or 0
+    path, starts = shared_dir(spark), _starts(alpha)
+    buckets = max(12, -(-total // bucket_words))
+    last = 0
+    while _round(chunks, path, last, buckets, starts):
+        for x in ("open", "answers"):
+            drop_folder(spark, f"{path}/{x}{last - 1}")
+        last += 1
+
+    def finish(batches):
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            found = [p for r in range(1, last + 1) if (p := _get(f"{path}/points/{row['chunk']}.{r}"))]
+            points = {x: np.concatenate([p[x] for p in found] or [np.zeros(0)]).astype(np.int64) for x in "skc"}
+            logs = _logs(chunk, points, total, alpha, starts)
+            yield pa.RecordBatch.from_arrays([pa.array(row["ids"], id_type), pa.array(chunk.sizes), pa.array(logs)], ["id", "n", "lp"])
+
+    id_type = to_arrow_type(docs.select(doc_id).schema[0].dataType)
+    done = materialise(chunks.mapInArrow(finish, f"id {kind}, n long, lp double"))
+    drop_folder(spark, path)
+    release(chunks)
+    n, some = F.col("n"), lambda c: F.when(F.col("n") > 0, c)
+    mean = F.col("lp") / n
+    return done.select(F.col("id").alias(doc_id), n.alias("n_words"), some(F.round(mean, 6)).alias("log_prob"), some(F.round(F.exp(-mean), 4)).alias("perplexity"), some(F.lit(0).cast("long")).alias("n_unseen"), some(F.round((n - 1) / 2, 6)).alias("mean_context"), some((n - 1).cast("int")).alias("max_context"))

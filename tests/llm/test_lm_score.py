@@ -7,7 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd_texts import ODD
 
+from loam.llm.lm_corpus import score_corpus
 from loam.llm.lm_score import build_index, score, suffix_array
+from loam.llm.queries import queries
 from loam.llm.words import WORD
 
 
@@ -80,3 +82,25 @@ def test_no_corpus_or_no_queries(spark, docs):
     (r,) = score(build_index(docs([])), q, "item_id").collect()
     assert (r.n_words, r.log_prob) == (2, None)
     assert score(build_index(docs(["a"])), q.limit(0), "item_id").collect() == []
+
+
+LONG = " ".join(f"w{i % 97} v{i * i % 53}" for i in range(150))
+WHOLE = [*CORPUS, *QUERIES, (None, "the cat"), (1, "the dog ran"), LONG, LONG, LONG + " and more", "before " + LONG, LONG[:400] + " turned " + LONG[300:], "z " * 200, "z " * 90, ("x y " * 70)]
+
+
+@pytest.mark.parametrize("chunk_words,alpha", [(1 << 20, 1.0), (300, 0.3)])
+def test_every_document_is_scored_by_its_own_corpus(docs, chunk_words, alpha):
+    d = docs(WHOLE).repartition(3)
+    got = sorted(map(tuple, score_corpus(d, alpha=alpha, chunk_words=chunk_words).collect()), key=str)
+    want = sorted(map(tuple, score(build_index(d), d, "doc_id", alpha).collect()), key=str)
+    assert len(got) == len(want) == len(WHOLE)
+    for g, w in zip(got, want):
+        assert g[:2] == w[:2] and g[4:] == w[4:], (g, w)
+        assert (g[2] is None) == (w[2] is None) and (g[2] is None or (abs(g[2] - w[2]) < 2e-6 and abs(g[3] - w[3]) < 2e-4)), (g, w)
+
+
+def test_op4_scores_documents_and_no_corpus_gives_no_rows(spark, docs):
+    assert score_corpus(docs([])).collect() == []
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = queries()["op4_lm_score"](spark, "/root/testdata/sf0.001")
+    assert "doc_id" in got.columns and got.count() == d.count()
