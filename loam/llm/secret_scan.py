@@ -1,15 +1,16 @@
 """Secret scan with a recursive decoding worklist.
 
 A document's text is the first layer.  Of every layer all secrets are found, and every encoding in it is
-unwrapped to a new layer: percent escapes, \\u \\x \\U and numeric character escapes, base64 (either alphabet), and gzip,
-zlib, bzip2, xz and zstd streams inside what was unwrapped.  Layers go on a worklist until none is new; a
+unwrapped to a new layer: percent escapes, \\u \\x \\U and numeric character escapes, base64 (either alphabet, on one
+line or over lines of one length), and gzip, zlib, bzip2, xz and zstd streams inside what was unwrapped.  Layers go on a worklist until none is new; a
 layer seen before in the document is not done again, so cycles end.  Each character of a layer carries the
 span of the original text it came from, and a finding is reported by that span.
 
 Defined results: null and empty texts have no findings; a secret found alike in several layers at the same
 span is reported once, by the layer found first; rows are scanned each alone, so null or repeated ids are
 carried as they are; unpacking stops at MAX_UNPACKED bytes a stream and a document, and then a finding of
-rule ``unpacking_stopped`` says so.
+rule ``unpacking_stopped`` says so; of a stream that ends too early what is there is scanned, and a finding of rule
+``stream_incomplete`` says so (of zlib, whose head is two letters, where it begins a layer).
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
+#: Base64 over lines; _wrapped takes from it what has lines of one length.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"\\r|\\n|([A-Za-z0-9+/_-]+)")
 _PACKED = re.compile(r"\x1f\x8b\x08|BZh[1-9]1AY&SY|x[\x01\x5e\x9c\xda]|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 _LATIN = re.compile(r"[\x00-\xff]+")
 _FOUND = T.ArrayType(T.StructType().add("rule", "string").add("start", "integer").add("end", "integer").add("layers", "string").add("digest", "string"))
@@ -147,53 +151,88 @@ def _readable(text: str) -> bool:
     return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text)
 
 
+def _wrapped(m: re.Match) -> list[list[tuple[int, int]]]:
+    """The spans of lines of blocks in m, all but the first and last of a block of one length; each with and without its last line."""
+    lines = [x.span(1) for x in _LINE.finditer(m.string, *m.span()) if x.group(1)]
+    out, i = [], 0
+    while i + 1 < len(lines):
+        size = lambda k: lines[k][1] - lines[k][0]
+        # the first line may have lost some of its length to a name before it
+        width = max(size(i), size(i + 1))
+        j = i + 1
+        while j < len(lines) - 1 and size(j) == width:
+            j += 1
+        if width >= 16 and size(j) <= width:
+            out.append(lines[i : j + 1])
+        if width >= 16 and j - i > 1:
+            out.append(lines[i:j])
+        i = max(i + 1, j)
+    return out
+
+
+def _decoded(layer: Layer, lines: list[tuple[int, int]]) -> Layer | None:
+    body = "".join(layer.text[a:b] for a, b in lines)
+    if len(body) % 4 == 1:
+        return None
+    try:
+        raw = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
+    except ValueError:
+        return None
+    packed = _PACKED.match(raw[:12].decode("latin-1"))
+    if not packed:
+        try:
+            if not _readable(raw.decode()):
+                return None
+        except UnicodeDecodeError:
+            return None
+    at = np.concatenate([np.arange(a, b) for a, b in lines]).tolist()
+    where = [(at[i // 3 * 4 + i % 3], at[min(i // 3 * 4 + i % 3 + 1, len(at) - 1)] + 1) for i in range(len(raw))]
+    new, sources = (raw.decode("latin-1"), where) if packed else _characters(raw, where)
+    return layer.cut(lines[0][0], lines[-1][1], new, sources, "base64")
+
+
 def _base64(layer: Layer) -> list[Layer]:
-    out = []
+    out, done = [], []
+    for m in _WRAPPED.finditer(layer.text):
+        for lines in _wrapped(m):
+            if (not done or done[-1][1] <= lines[0][0]) and (new := _decoded(layer, lines)):
+                out.append(new)
+                done.append((lines[0][0], lines[-1][1]))
+    at = 0
     for m in _BASE64.finditer(layer.text):
-        body = m.group().rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(body.translate(str.maketrans("-_", "+/")) + "=" * (-len(body) % 4), validate=True)
-        except ValueError:
+        while at < len(done) and done[at][1] <= m.start():
+            at += 1
+        if at < len(done) and done[at][0] <= m.start():
             continue
-        a = m.start()
-        packed = _PACKED.match(raw[:12].decode("latin-1"))
-        if not packed:
-            try:
-                if not _readable(raw.decode()):
-                    continue
-            except UnicodeDecodeError:
-                continue
-        where = [(a + i // 3 * 4 + i % 3, min(a + i // 3 * 4 + i % 3 + 2, a + len(body))) for i in range(len(raw))]
-        new, sources = (raw.decode("latin-1"), where) if packed else _characters(raw, where)
-        out.append(layer.cut(m.start(), m.end(), new, sources, "base64"))
+        if new := _decoded(layer, [(m.start(), m.start() + len(m.group().rstrip("=")))]):
+            out.append(new)
     return out
 
 
-def _unpack(raw: memoryview, limit: int) -> tuple[str, bytes, int, bool] | None:
-    """Kind, content, bytes of raw used, and whether it was stopped at the limit."""
+def _unpack(raw: memoryview, limit: int) -> tuple[str, bytes, int, str] | None:
+    """Kind, content, bytes of raw used, and what kept it from its end, a rule's name, if anything did."""
+    why = lambda stopped, whole: "unpacking_stopped" if stopped else "" if whole else "stream_incomplete"
     try:
         if raw[:2] == b"\x1f\x8b" or raw[:1] == b"x":
             kind = "gzip" if raw[:1] == b"\x1f" else "zlib"
             d = zlib.decompressobj(31 if kind == "gzip" else 15)
             got = d.decompress(raw, limit)
-            return kind, got, len(raw) - len(d.unused_data) - len(d.unconsumed_tail), bool(d.unconsumed_tail)
+            return kind, got, len(raw) - len(d.unused_data) - len(d.unconsumed_tail), why(bool(d.unconsumed_tail), d.eof)
         if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
             kind = "bzip2" if raw[:1] == b"B" else "xz"
             d = bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()
             got = d.decompress(raw, limit)
-            return kind, got, len(raw) - len(d.unused_data), not d.eof and not d.needs_input
+            return kind, got, len(raw) - len(d.unused_data), why(not d.eof and not d.needs_input, d.eof)
         d = zstandard.ZstdDecompressor().decompressobj()
         got = zstandard.ZstdDecompressor().stream_reader(raw).read(limit + 1)
         d.decompress(raw) if len(got) <= limit else None
-        return "zstd", got[:limit], len(raw) - len(d.unused_data), len(got) > limit
+        return "zstd", got[:limit], len(raw) - len(d.unused_data), why(len(got) > limit, d.eof)
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
         return None
 
 
-def _packed(layer: Layer, limit: int) -> tuple[list[Layer], bool]:
-    out, stopped = [], False
+def _packed(layer: Layer, limit: int) -> tuple[list[Layer], set[str]]:
+    out, stopped = [], set()
     for part in _LATIN.finditer(layer.text):
         text, base, at = part.group(), part.start(), 0
         data = memoryview(text.encode("latin-1"))
@@ -202,7 +241,9 @@ def _packed(layer: Layer, limit: int) -> tuple[list[Layer], bool]:
             got = _unpack(data[m.start() :], limit)
             if got and got[1]:
                 kind, raw, used, cut = got
-                stopped |= cut
+                # two letters of a text can look like the head of a zlib stream
+                if cut == "unpacking_stopped" or cut and (kind != "zlib" or base + m.start() == 0):
+                    stopped.add(cut)
                 new, _ = _characters(raw, [(0, 0)] * len(raw))
                 out.append(layer.cut(base + m.start(), base + m.start() + used, new, None, kind))
                 limit = max(1, limit - len(raw))
@@ -237,8 +278,8 @@ def scan_text(text: str | None, max_unpacked: int = MAX_UNPACKED) -> list[dict]:
         if layer.path and _PACKED.search(s):
             new, stopped = _packed(layer, left)
             left = max(1, left - sum(len(x.text) for x in new))
-            if stopped:
-                found.setdefault(("unpacking_stopped", *layer.span(0, len(s)), ""), path)
+            for rule in stopped:
+                found.setdefault((rule, *layer.span(0, len(s)), ""), path)
             work += new
     return [{"rule": r, "start": a, "end": b, "layers": p, "digest": d} for (r, a, b, d), p in sorted(found.items())]
 

@@ -119,3 +119,28 @@ def test_in_spark_with_odd_rows(docs):
     got = sorted(((r.doc_id, r.rule, r.start, r.end) for r in scan_secrets(d).collect()), key=str)
     assert got == sorted([(i, "cloud_key_id", 7, 27) for i in (len(ODD), None, 7, 7)], key=str)
     assert scan_secrets(docs([])).collect() == []
+
+
+def test_base64_over_lines_is_one_layer():
+    r = random.Random(5)
+    filler = "".join(r.choices("abcdefghijklmnopqrstuvwxyz 0123456789", k=600))
+    for pack in (lambda b: b, *PACKERS.values()):
+        raw = pack(f"{filler} {KEY} {filler[:57]}".encode())
+        for width, join in ((76, "\n"), (64, "\r\n"), (76, "\n  "), (64, "\\n")):
+            lines = [b64(raw)[i : i + width] for i in range(0, len(b64(raw)), width)]
+            for text in (join.join(lines), "see\n" + join.join(lines) + "\nthanks for all", "file: " + join.join(lines)):
+                found = scan_text(text)
+                assert [f["rule"] for f in found] == ["cloud_key_id"], (width, join, found)
+                assert 0 <= found[0]["start"] < found[0]["end"] <= len(text)
+    text = join.join([b64(f"{KEY} a")[:20], b64(f"{KEY} a")[20:]])
+    (f,) = scan_text(text)
+    assert (f["start"], f["end"]) == (0, text.index(b64(f"{KEY} a")[20:]) + 7)
+
+
+def test_streams_that_end_too_early_are_reported():
+    raw = bytes(random.Random(3).choices(b"abcdefghijklmnop \n", k=4000))
+    for name, pack in PACKERS.items():
+        whole = pack(raw)
+        assert scan_text(b64(whole)) == [], name
+        if name in ("gzip", "zlib"):
+            assert [f["rule"] for f in scan_text(b64(whole[:-300]))] == ["stream_incomplete"], name
