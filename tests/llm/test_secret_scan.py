@@ -144,3 +144,23 @@ def test_streams_that_end_too_early_are_reported():
         assert scan_text(b64(whole)) == [], name
         if name in ("gzip", "zlib"):
             assert [f["rule"] for f in scan_text(b64(whole[:-300]))] == ["stream_incomplete"], name
+
+
+def test_unquoted_values_more_names_and_long_secrets():
+    for text, secret in (
+        ("password=hunter2hunter2 next", "hunter2hunter2"), ("DB_PASSWORD=abcd1234efgh\nX=1", "abcd1234efgh"), ("/cb?access_token=abc123def456&x=1", "abc123def456"), ('SECRET_KEY = "abcd1234efgh"', "abcd1234efgh"),
+        ("private_key: abcd1234efgh;", "abcd1234efgh"), ("pwd=abcd1234efgh", "abcd1234efgh"), ("password" + " " * 20 + "= 'abcd&efgh;1234'", "abcd&efgh;1234"), ("token='" + "a1" * 400 + "'", "a1" * 400),
+    ):
+        found = [f for f in scan_text(text) if f["rule"] == "assigned_secret" and f["layers"] == ""]
+        assert [text[f["start"] : f["end"]] for f in found] == [secret], text
+    assert "assigned_secret" in [f["rule"] for f in scan_text("go " + url("?access_token=abc123def456&x=1"))]
+    for rule, text in {"signed_token": "eyJ" + "a" * 5000 + ".eyJ" + "b" * 5000 + "." + "c" * 5000, "forge_token": "ghp_" + "a1" * 300, "url_password": "redis://:" + "p" * 300 + "@h", "chat_token": "xoxb-" + "1" * 400, "payment_key": "sk_live_" + "9" * 400}.items():
+        (f,) = [f for f in scan_text(f"a {text} b") if f["rule"] == rule]
+        assert f["end"] - f["start"] >= 300, rule
+
+
+def test_open_bounds_stay_linear():
+    began = time.process_time()
+    for part in ("-eyJ", "token", "token=", "auth ", "://a:", "xoxb-", "ghp_"):
+        scan_text(part * 100_000)
+    assert time.process_time() - began < 30
