@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many documents repeat."""
-    return line_dedup.dedup_lines_in_place(docs)
+    """Texts without the lines that other documents repeat; one document keeps each."""
+    return line_dedup.keep_one_line_of_each(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from odd_texts import ODD
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loam.llm.line_dedup import PerfectHash, dedup_lines, dedup_lines_in_place
+from loam.llm.line_dedup import PerfectHash, dedup_lines, dedup_lines_in_place, keep_one_line_of_each
 
 
 def brute(texts, min_docs, max_removed):
@@ -64,3 +64,20 @@ def test_perfect_hash_with_keys_no_level_parts():
 def test_threshold_must_fit_the_counts(docs):
     with pytest.raises(ValueError):
         dedup_lines(docs(["a"]), 70_000)
+
+
+def test_repeated_lines_stay_in_one_document_whatever_their_share(docs):
+    foot, passage, cjk = "short foot", " ".join(f"w{i}" for i in range(25)), "字" * 120
+    texts = [f"own {i}\n{foot}\n{foot} and more of it" for i in range(6)]
+    texts += [f"mine {i} is here\n {passage} \n{cjk}" for i in range(2)] + ["rare\nleft", "rare\nright", None, "", (None, f"no id\n{foot}"), (50, "a\n\nb")]
+    d = docs(texts).withColumnRenamed("source", "n_lines")
+    out = keep_one_line_of_each(d)
+    assert out.columns == d.columns
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert len(got) == len(texts)
+    lines = [x.strip() for t in got.values() if t for x in t.split("\n")]
+    assert lines.count(foot) == lines.count(passage) == lines.count(cjk) == lines.count(f"{foot} and more of it") == 1 and lines.count("rare") == 2
+    assert got[None] == f"no id\n{foot}" and got[0] == f"own 0\n{foot} and more of it" and got[3] == "own 3" and got[7] == "mine 1 is here"
+    assert got[10] is None and got[11] == "" and got[50] == "a\n\nb"
+    assert {r.doc_id: r.n_chars for r in out.collect()}[3] == 5
+    assert keep_one_line_of_each(docs([])).collect() == []
