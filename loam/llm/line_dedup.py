@@ -34,6 +34,7 @@ from loam.llm.words import mix
 from loam.runtime import materialise, release, shared_dir, small_side
 
 MIN_DOCS, MAX_REMOVED = 5, 0.5
+LONG_WORDS, LONG_CHARS = 20, 100
 LOCAL_BYTES, SHARD_LINES = 64 << 20, 1 << 20
 SALTS = 16
 _U = np.uint64
@@ -247,18 +248,19 @@ def dedup_lines_in_place(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed:
     new = {"text": F.col("__loam_text"), "n_chars": F.length("__loam_text").cast("long")}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
-def keep_one_line_of_each(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def keep_one_line_of_each(docs: DataFrame, min_docs: int = MIN_DOCS, long_words: int = LONG_WORDS, long_chars: int = LONG_CHARS) -> DataFrame:
     """docs with its own columns; a repeated line stays only in the document of least doc_id (null first, then by hash of text).
 
-    Repeated: in min_docs documents or more.  What share of a document they are is no matter, so no text leaves the corpus and none
+    Repeated: in min_docs documents or more, or, of long_words words or long_chars characters (for scripts without
+    blanks) or more, in two.  What share of a document they are is no matter, so no text leaves the corpus and none
     is kept twice, but for rows alike in id and text, which keep the same lines, and lines repeated within a document.
     Line hashes are shuffled, texts are not: only repeated lines and who loses them come back.
     """
     text, (k1, k2) = F.col("text"), _text_key()
     line = F.explode(F.array_distinct(F.filter(F.transform(F.split(text, "\\n"), lambda x: F.trim(x)), lambda x: x != "")))
-    lines = docs.select(F.col("doc_id").alias("id"), k1, k2, line.alias("x")).select(F.struct("id", "k1", "k2").alias("doc"), F.xxhash64("x").alias("h"))
-    counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    repeated = materialise(counted.where(F.col("n") >= min_docs).select("h", "first"))
+    lines = docs.select(F.col("doc_id").alias("id"), k1, k2, line.alias("x")).select(F.struct("id", "k1", "k2").alias("doc"), F.xxhash64("x").alias("h"), ((F.size(F.split("x", r"\s+")) >= long_words) | (F.length("x") >= long_chars)).alias("long"))
+    counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.min("doc").alias("first"))
+    repeated = materialise(counted.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= 2))).select("h", "first"))
     lost = lines.join(small_side(repeated, 64), "h").where(F.col("doc") != F.col("first"))
     bad = materialise(lost.groupBy("doc").agg(F.collect_set("h").alias("bad")).select(F.col("doc.id").alias("__loam_id"), F.col("doc.k1").alias("__loam_k1"), F.col("doc.k2").alias("__loam_k2"), F.col("bad").alias("__loam_bad")))
     keyed = docs.withColumns({"__loam_t1": k1, "__loam_t2": k2})
