@@ -1,36 +1,54 @@
-"""Unbounded n-gram scores from sharded suffix arrays of a corpus.
-
-Each partition of the corpus is cut into shards of SHARD_TOKENS words; a shard keeps its words as numbers,
-document ends between them, and the suffix array over them, in the shared folder.  A query text's
-substrings are narrowed word by word: the range of suffixes that begin with q[s:e] is binary searched
-within the range of q[s:e-1], until nothing matches, however long that is.  The ranges' sizes are counts,
-summed over the shards.  A word's probability starts from 1 / N, N the corpus's words, and goes up the
-contexts that the corpus has, to the longest: p = (count(context, word) + ALPHA * p) / (count(context) + ALPHA).
-
-Queries are carried to the shards, in as many passes as QUERY_BYTES of their text ask for; the corpus is
-never shuffled, and work is in proportion to the corpus for each pass.  A count includes occurrences at
-the end of a document, which no word follows.
-
-Defined results: null texts and texts without words have 0 words and null scores; each query row is
-scored alone and repeated rows repeat; null ids are carried; an empty corpus scores no word, all null;
-null corpus texts hold no words; other columns are not read.
+"""Unbounded n-gram scores of texts from sharded suffix arrays of a corpus.
+
+Each partition of the corpus is cut into shards of SHARD_WORDS words; a shard keeps its words as numbers, document
+ends between them, and the suffix array over them, as a file in the shared folder.  Queries are scored by all that
+*other* documents hold: what a row's own document (same id, same text) holds is never counted, so documents of the
+corpus can be queries of it.
+
+Two passes, each of which leaves a few numbers a query word, whatever the corpus or a text's length:
+
+1. For every word of a query, the length of the longest run from there on that the shard holds, by binary search of
+   its suffix array, and how often the word and its pair with the next are there.  Lengths are maxed over shards,
+   counts are summed.  A run's parts occur wherever it does, so a word's longest matching context begins at the first
+   word whose run reaches it.
+2. How often that context, and that context with the word, occur: ranges of the suffix arrays, summed over shards.
+
+Counts are smoothed from the shortest context to the longest: p = (count(context, word) + ALPHA * p) / (count(context)
++ ALPHA), over the empty context, the word before, and the longest matching context, from p = 1 / N, N the words of
+all other documents.  A count includes occurrences at the end of a document, which no word follows.
+
+Queries go to the shards in blocks of BLOCK_WORDS, and each block to GROUPS tasks that take the shards in turn, so
+neither corpus nor index is ever shuffled, and what is, is in proportion to the queries.  Work is in proportion to
+queries times shards: about 2 microseconds for a query word and a shard of 2 million words.
+
+Defined results: null texts and texts without words have 0 words and null scores; each query row is scored alone and
+repeated rows repeat, each scored without any of the rows alike in id and text; null ids are carried; where no other
+document has a word all scores are null; an empty corpus or no queries are no error; texts of any length are matched
+whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loam.llm.words import text_slices, word_hashes
-from loam.runtime import materialise, text_batches
+from loam.llm.words import mix, text_slices, word_hashes
+from loam.runtime import drop_folder, materialise, release, shared_dir, text_batches
 
-SHARD_TOKENS, QUERY_BYTES, ALPHA = 500_000, 4 << 20, 1.0
-_INDEX = "n long, vocabulary binary, tokens binary, suffixes binary"
-_COUNTS = "q int, s int, e int, n long"
+SHARD_WORDS, BLOCK_WORDS, GROUPS, ALPHA = 2_000_000, 1 << 18, 16, 1.0
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -67,119 +85,425 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order.astype(np.int32)
 
 
-def _shard(words: list[np.ndarray], rows: list[np.ndarray]) -> dict:
-    """Words of documents in turn, rows numbering the documents; each document is followed by its own end mark."""
-    w, r = np.concatenate(words), np.concatenate(rows)
+@dataclass
+class Index:
+    """Where the shards are, and how many words they hold in all."""
+
+    path: str
+    words: int
+
+
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+def _put(path: str, row: dict) -> None:
+    """A task that runs again writes the same; a file appears whole."""
+    fs, p = _place(path)
+    folder, _, name = p.rpartition("/")
+    fs.create_dir(folder, recursive=True)
+    part = f"{folder}/.{name}.{TaskContext.get().taskAttemptId()}"
+    with fs.open_output_stream(part) as f:
+        pq.write_table(pa.Table.from_pylist([row]), f, compression="zstd", use_dictionary=False)
+    fs.move(part, p)
+
+
+def _shards(path: str) -> Iterator[Shard]:
+    """The shards of one folder, one in memory at a time."""
+    fs, p = _place(path)
+    for info in sorted(fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)), key=lambda i: i.base_name):
+        if info.is_file and info.extension == "parquet":
+            with fs.open_input_file(info.path) as f:
+                (row,) = pq.read_table(f).to_pylist()
+            yield Shard(row)
+
+
+def make_shard(words: list[np.ndarray], sizes: list[np.ndarray], owners: list[np.ndarray]) -> dict:
+    """Documents' words in turn, how many each has, and each document's 64-bit name; every document gets an end mark of its own."""
+    w, size = np.concatenate(words), np.concatenate(sizes).astype(np.int64)
     vocabulary, ids = np.unique(w, return_inverse=True)
-    last = np.flatnonzero(np.r_[r[1:] != r[:-1], True]) if len(r) else np.zeros(0, np.int64)
-    # end marks differ, so that no two suffixes agree beyond a document
-    tokens = np.insert(ids.astype(np.int64) + len(last), last + 1, np.arange(len(last)))
-    return {"n": len(w), "vocabulary": vocabulary.tobytes(), "tokens": (tokens - len(last)).astype(np.int32).tobytes(), "suffixes": suffix_array(tokens).tobytes()}
+    n = len(size)
+    # end marks differ and come before words, so that no two suffixes agree beyond a document
+    tokens = np.insert(ids.astype(np.int64) + n, np.cumsum(size), np.arange(n)).astype(np.int32)
+    order = suffix_array(tokens)
+    return {"n": len(w), "vocabulary": vocabulary.tobytes(), "sizes": size.astype(np.int32).tobytes(), "owners": np.concatenate(owners).tobytes(), "tokens": tokens.tobytes(), "suffixes": _three(order)}
+
+
+def _three(order: np.ndarray) -> bytes:
+    """32-bit numbers in three bytes where they fit."""
+    raw = order.view(np.uint8).reshape(-1, 4)
+    return raw[:, :3].tobytes() if len(order) < 1 << 24 else raw.tobytes()
+
+
+class Shard:
+    """The suffix array of some documents, and the runs of words in it."""
+
+    def __init__(self, row: dict):
+        get = lambda c, t: np.frombuffer(row[c], t)
+        self.vocabulary, self.tokens = get("vocabulary", _U), get("tokens", np.int32)
+        size = get("sizes", np.int32).astype(np.int64)
+        self.docs, n = len(size), len(self.tokens)
+        packed = get("suffixes", np.uint8)
+        raw = np.zeros((n, 4), np.uint8)
+        raw[:, : len(packed) // max(n, 1)] = packed.reshape(n, -1) if n else raw
+        self.order = raw.view(np.int32).ravel()
+        self.owners, inverse = np.unique(get("owners", np.int64), return_inverse=True)
+        #: of each suffix in turn, which owner's document it begins in
+        self.owner = np.repeat(inverse, size + 1)[self.order]
+        self.words_of = np.bincount(inverse, size, minlength=len(self.owners)).astype(np.int64)
+        self.bits = max(1, int(len(self.vocabulary) + self.docs + 1).bit_length())
+        self.depth = 62 // self.bits
+        padded = np.r_[self.tokens, np.full(self.depth, -1, np.int32)].astype(np.int64) + 1
+        self.keys = np.zeros(n, np.int64)
+        for j in range(self.depth):
+            self.keys = (self.keys << self.bits) | padded[self.order + j]
+        self._hash: np.ndarray | None = None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hash is None:
+            self._hash = _prefix_hashes(self.tokens.astype(np.int64))
+        return self._hash
+
+
+_powers_of: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    have = _powers_of.get(base)
+    if have is None or len(have) < n:
+        p = np.full(max(n, 1), base, _U)
+        p[0] = 1
+        have = _powers_of[base] = np.multiply.accumulate(p)
+    return have[:n]
+
+
+def _prefix_hashes(tokens: np.ndarray) -> np.ndarray:
+    return np.r_[_U(0), np.cumsum(mix(tokens.astype(_U) + _U(1)) * _powers(_BASE, len(tokens)), dtype=_U)]
+
+
+class Search:
+    """Query words, document after document, against one shard."""
+
+    def __init__(self, shard: Shard, words: np.ndarray, sizes: np.ndarray, names: np.ndarray):
+        self.shard, n = shard, len(words)
+        v = shard.vocabulary
+        at = np.minimum(np.searchsorted(v, words), max(len(v) - 1, 0))
+        known = v[at] == words if len(v) else np.zeros(n, bool)
+        self.ids = np.where(known, at + shard.docs, -1)
+        ends = np.cumsum(sizes)
+        # words from each place on that may match: to the document's end or the next unknown word
+        stop = np.where(known, n, np.arange(n))
+        stop = np.minimum.accumulate(stop[::-1])[::-1] if n else stop
+        self.room = np.minimum(stop, np.repeat(ends, sizes)) - np.arange(n)
+        where = np.minimum(np.searchsorted(shard.owners, names), max(len(shard.owners) - 1, 0))
+        own = np.where(shard.owners[where] == names, where, -1) if len(shard.owners) else np.full(len(names), -1)
+        self.own_words = np.where(own >= 0, shard.words_of[own], 0) if len(shard.owners) else np.zeros(len(names), np.int64)
+        self.group = np.repeat(own, sizes)
+        asked = np.zeros(len(shard.owners), bool)
+        asked[own[own >= 0]] = True
+        at = np.flatnonzero(asked[shard.owner])
+        self._own = np.sort(shard.owner[at] * (len(shard.order) + 1) + at)
+        padded = np.r_[self.ids, np.zeros(shard.depth, np.int64)] + 1
+        self.key = np.zeros(n, np.int64)
+        for j in range(shard.depth):
+            self.key = (self.key << shard.bits) | padded[j : j + n]
+        self._hash: np.ndarray | None = None
+
+    @property
+    def hashes(self) -> np.ndarray:
+        if self._hash is None:
+            self._hash = _prefix_hashes(self.ids)
+        return self._hash
+
+    def own(self, group: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many suffixes of [lo, hi) are of the owner group; none for -1."""
+        out = np.zeros(len(lo), np.int64)
+        some = np.flatnonzero(group >= 0)
+        g = group[some] * (len(self.shard.order) + 1)
+        out[some] = np.searchsorted(self._own, g + hi[some]) - np.searchsorted(self._own, g + lo[some])
+        return out
 
+    def _short(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The range of suffixes that begin with the k words from each s, k within the keys' depth."""
+        shift = self.shard.bits * (self.shard.depth - k)
+        low = self.key[s] >> shift << shift
+        by = np.argsort(low)
+        lo, hi = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
+        lo[by], hi[by] = np.searchsorted(self.shard.keys, low[by]), np.searchsorted(self.shard.keys, low[by] + (1 << shift))
+        return lo, hi
 
-def build_index(corpus: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """The shards, materialised: n words, sorted hashes of its vocabulary, tokens (negative: document ends), suffixes."""
+    def _same(self, s: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Whether the k words from each s are those from the corpus's at on."""
+        h, n = self.shard.hashes, len(self.shard.tokens)
+        ok = at + k <= n
+        end = np.minimum(at + k, n)
+        back = _powers(_INVERSE, max(n, len(self.ids)) + 1)
+        return ok & ((h[end] - h[at]) * back[at] == (self.hashes[s + k] - self.hashes[s]) * back[s])
+
+    def _agree(self, s: np.ndarray, at: np.ndarray, known: int, most: np.ndarray) -> np.ndarray:
+        """How many words from each s on, most at most, agree with the corpus from at on; known do."""
+        k, step = np.full(len(s), known), np.full(len(s), 1)
+        up, live = np.ones(len(s), bool), np.arange(len(s))
+        while len(live):
+            want = k[live] + step[live]
+            ok = want <= most[live]
+            ok[ok] = self._same(s[live[ok]], at[live[ok]], want[ok])
+            k[live[ok]] = want[ok]
+            up[live] &= ok
+            step[live] = np.where(up[live], step[live] * 2, step[live] // 2)
+            live = live[step[live] > 0]
+        return k
+
+    def _place(self, s: np.ndarray, lo: np.ndarray, hi: np.ndarray, k: np.ndarray, after: bool) -> np.ndarray:
+        """Where in [lo, hi), which agree in depth words, the run of k words from s goes: before or after the suffixes that begin with it."""
+        depth, tokens, order = self.shard.depth, self.shard.tokens, self.shard.order
+        lo, hi = lo.copy(), hi.copy()
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) // 2
+            at, q = order[mid].astype(np.int64), s[live]
+            same = self._agree(q, at, depth, k[live])
+            whole = same == k[live]
+            there = at + same
+            ends = there >= len(tokens)
+            right = np.where(whole, after, ends | (tokens[np.where(ends, 0, there)] < self.ids[np.minimum(q + same, len(self.ids) - 1)]))
+            lo[live] = np.where(right, mid + 1, lo[live])
+            hi[live] = np.where(right, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        return lo
+
+    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word the longest run from it on that another's document has, and how often the word and the pair from it on are there."""
+        n, depth, sh = len(self.ids), self.shard.depth, self.shard
+        best, ones, twos = (np.zeros(n, np.int64) for _ in range(3))
+        live = np.flatnonzero(self.room > 0)
+        lo = hi = np.zeros(0, np.int64)
+        for k in range(1, depth + 1):
+            live = live[self.room[live] >= k]
+            lo, hi = self._short(live, k)
+            count = hi - lo - self.own(self.group[live], lo, hi)
+            keep = count > 0
+            live, lo, hi, count = live[keep], lo[keep], hi[keep], count[keep]
+            best[live] = k
+            if k <= 2:
+                (ones, twos)[k - 1][live] = count
+        more = self.room[live] > depth
+        s, lo, hi = live[more], lo[more], hi[more]
+        if len(s):
+            most, group = self.room[s], self.group[s]
+            spot = self._place(s, lo, hi, most, False)
+            for side in (-1, 0):
+                at = spot + side
+                own = np.flatnonzero((at >= lo) & (at < hi) & (group >= 0))
+                own = own[sh.owner[at[own]] == group[own]]
+                if len(own):
+                    # runs of the owner's own suffixes are stepped over at once
+                    at[own] = self._edges[0][at[own]] - 1 if side else self._edges[1][at[own]]
+                ok = np.flatnonzero((at >= lo) & (at < hi))
+                got = self._agree(s[ok], sh.order[at[ok]].astype(np.int64), depth, most[ok])
+                best[s[ok]] = np.maximum(best[s[ok]], got)
+        return best, ones, twos
+
+    @property
+    def _edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each suffix in turn, where the run of neighbours of one owner begins, and where it is over."""
+        if not hasattr(self.shard, "edges"):
+            o = self.shard.owner
+            head = np.flatnonzero(np.r_[True, o[1:] != o[:-1]])
+            run = np.diff(np.r_[head, len(o)])
+            self.shard.edges = np.repeat(head, run), np.repeat(head + run, run)
+        return self.shard.edges
+
+    def counts(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How often others' documents have the run of k words from each s."""
+        out, depth = np.zeros(len(s), np.int64), self.shard.depth
+        can = (k > 0) & (k <= self.room[np.minimum(s, max(len(self.ids) - 1, 0))]) if len(self.ids) else np.zeros(len(s), bool)
+        for d in range(1, depth + 1):
+            i = np.flatnonzero(can & ((k == d) | ((k > d) & (d == depth))))
+            if not len(i):
+                continue
+            lo, hi = self._short(s[i], d)
+            deep = np.flatnonzero(k[i] > d)
+            if len(deep):
+                args = s[i[deep]], lo[deep], hi[deep], k[i[deep]]
+                lo[deep], hi[deep] = self._place(*args, False), self._place(*args, True)
+            out[i] = hi - lo - self.own(self.group[s[i]], lo, hi)
+        return out
+
+
+def _name(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("string"), text)
+
+
+def build_index(corpus: DataFrame, doc_id: str = "doc_id", shard_words: int = SHARD_WORDS, groups: int = GROUPS) -> Index:
+    """Writes the shards, each into one of the groups' folders."""
+    spark = corpus.sparkSession
+    text_batches(spark)
+    path = shared_dir(spark)
 
     def build(batches):
-        words, rows, have, docs = [], [], 0, 0
-        schema = pa.schema([("n", pa.int64()), ("vocabulary", pa.binary()), ("tokens", pa.binary()), ("suffixes", pa.binary())])
+        part, number, total = TaskContext.get().partitionId(), 0, 0
+        words, sizes, owners, have = [], [], [], 0
+
+        def write():
+            _put(f"{path}/{(part + number) % groups}/{part}-{number}.parquet", make_shard(words, sizes, owners))
+
         for b in batches:
-            for at, to, part in text_slices(b["text"]):
-                w, r = word_hashes(part)
+            for at, to, texts in text_slices(b["text"]):
+                w, r = word_hashes(texts)
                 words.append(w)
-                rows.append(r + docs)
-                docs += to - at
-                have += len(w)
-                if have >= shard_tokens:
-                    yield pa.RecordBatch.from_pylist([_shard(words, rows)], schema)
-                    words, rows, have = [], [], 0
+                sizes.append(np.bincount(r, minlength=to - at))
+                owners.append(b["name"].slice(at, to - at).to_numpy(zero_copy_only=False))
+                have, total = have + len(w), total + len(w)
+                if have >= shard_words:
+                    write()
+                    words, sizes, owners, have, number = [], [], [], 0, number + 1
         if have:
-            yield pa.RecordBatch.from_pylist([_shard(words, rows)], schema)
-
-    text_batches(corpus.sparkSession)
-    return materialise(corpus.select("text").mapInArrow(build, _INDEX))
-
-
-def _bound(tokens: np.ndarray, suffixes: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int, want: np.ndarray, after: bool) -> np.ndarray:
-    """In each [lo, hi) the first suffix whose token at depth is not below want, or after: is above it."""
-    lo, hi = lo.copy(), hi.copy()
-    live = np.flatnonzero(lo < hi)
-    while len(live):
-        mid = (lo[live] + hi[live]) // 2
-        at = suffixes[mid].astype(np.int64) + depth
-        got = np.where(at < len(tokens), tokens[np.minimum(at, len(tokens) - 1)], np.iinfo(np.int64).min)
-        right = got <= want[live] if after else got < want[live]
-        lo[live] = np.where(right, mid + 1, lo[live])
-        hi[live] = np.where(right, hi[live], mid)
-        live = live[lo[live] < hi[live]]
-    return lo
-
-
-def count_substrings(tokens: np.ndarray, suffixes: np.ndarray, vocabulary: np.ndarray, queries: list[np.ndarray]) -> tuple[np.ndarray, ...]:
-    """q, s, e, n: how often queries[q][s:e] is in the shard, for all that are."""
-    size = np.array([len(q) for q in queries], np.int64)
-    flat = np.concatenate([*queries, np.zeros(0, np.uint64)])
-    at = np.minimum(np.searchsorted(vocabulary, flat), max(len(vocabulary) - 1, 0))
-    ids = np.where(vocabulary[at] == flat, at, -1) if len(vocabulary) else np.full(len(flat), -1)
-    q = np.repeat(np.arange(len(queries)), size)
-    begin = np.cumsum(size) - size
-    end = (begin + size)[q]
-    s = np.arange(len(flat))
-    lo, hi = np.zeros(len(flat), np.int64), np.full(len(flat), len(suffixes), np.int64)
-    out, k = [], 0
-    while len(s):
-        keep = s + k < end[s]
-        keep[keep] &= ids[s[keep] + k] >= 0
-        s, lo, hi = s[keep], lo[keep], hi[keep]
-        want = ids[s + k]
-        lo, hi = _bound(tokens, suffixes, lo, hi, k, want, False), _bound(tokens, suffixes, lo, hi, k, want, True)
-        keep = lo < hi
-        s, lo, hi = s[keep], lo[keep], hi[keep]
-        k += 1
-        out.append((q[s], s - begin[q[s]], s - begin[q[s]] + k, hi - lo))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-
-
-def _counts(index: DataFrame, queries: list[np.ndarray]) -> DataFrame:
-    def search(batches):
-        for b in batches:
-            for i in range(len(b)):
-                get = lambda c, t, i=i: np.frombuffer(b[c][i].as_buffer(), t)
-                found = count_substrings(get("tokens", np.int32), get("suffixes", np.int32), get("vocabulary", np.uint64), queries)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(found, (pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["q", "s", "e", "n"])
+            write()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([total], pa.int64())})
+
+    named = corpus.select("text", _name(F.col(f"`{doc_id}`"), F.col("text")).alias("name"))
+    total = named.mapInArrow(build, "n long").agg(F.sum("n")).first()[0] or 0
+    return Index(path, total)
+
+
+def release_index(index: Index, spark) -> None:
+    drop_folder(spark, index.path)
+
 
-    return index.select("vocabulary", "tokens", "suffixes").mapInArrow(search, _COUNTS).groupBy("q", "s", "e").agg(F.sum("n").alias("n"))
+def _flat(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Binary rows' numbers in one array, and how many each row has."""
+    parts = [np.frombuffer(x.as_buffer(), kind) for c in column.chunks for x in c]
+    return np.concatenate([*parts, np.zeros(0, kind)]), np.array([len(p) for p in parts], np.int64)
 
 
-def score(index: DataFrame, queries: DataFrame, query_id: str, alpha: float = ALPHA, query_bytes: int = QUERY_BYTES) -> DataFrame:
-    """query_id, n_words, log_prob (mean, natural), perplexity, n_unseen (words the corpus lacks), mean_context and
+def _rows(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])] if len(sizes) else [], pa.binary())
+
+
+def _over(parts: pa.Table, column: str, kind, sizes: np.ndarray, how) -> np.ndarray:
+    """A column of several parts' rows, which are alike but for their numbers, put together by how."""
+    values = np.zeros(int(sizes.sum()), np.int64)
+    for k in range(len(parts) // max(len(sizes), 1)):
+        one, _ = _flat(parts[column].slice(k * len(sizes), len(sizes)), kind)
+        values = how(values, one.astype(np.int64))
+    return values
+
+
+_LONGEST = "q long, name long, words binary, best binary, ones binary, twos binary, own long"
+_CONTEXTS = "q long, name long, block int, words binary, s binary, k binary, ones binary, before binary, pairs binary, own long"
+
+
+def score(index: Index, queries: DataFrame, query_id: str = "doc_id", alpha: float = ALPHA, block_words: int = BLOCK_WORDS, groups: int = GROUPS) -> DataFrame:
+    """query_id, n_words, log_prob (mean, natural), perplexity, n_unseen (words no other document has), mean_context and
     max_context (words of the longest matching context): one row a query."""
-    spark = queries.sparkSession
-    total = index.agg(F.sum("n")).first()[0] or 0
-    passes = max(1, -(-(queries.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // query_bytes))
-    kind = dict(queries.dtypes)[query_id]
-    out = []
-    for i in range(passes):
-        part = queries.select(query_id, "text")
-        t = (part.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == i) if passes > 1 else part).toArrow()
-        words: list[np.ndarray] = []
-        for at, to, x in text_slices(t["text"]):
-            w, r = word_hashes(x)
-            words += np.split(w, np.searchsorted(r, np.arange(1, to - at)))
-        ids = spark.createDataFrame([(q, v, len(w)) for q, (v, w) in enumerate(zip(t[query_id].to_pylist(), words))], f"q int, id {kind}, n_words long")
-        n = materialise(_counts(index, words))
-        # p of the word at t by its contexts q[s:t], from the shortest (s = t: the whole corpus) to the longest
-        here = n.select("q", "s", F.col("e").alias("t"), F.col("n").alias("c"))
-        with_word = n.select("q", "s", (F.col("e") - 1).alias("t"), F.col("n").alias("cw"))
-        spots = ids.where("n_words > 0").select("q", F.explode(F.sequence(F.lit(0), F.col("n_words").cast("int") - 1)).alias("t"))
-        levels = here.unionByName(spots.select("q", F.col("t").alias("s"), "t", F.lit(total).cast("long").alias("c"))).join(with_word, ["q", "s", "t"], "left")
-        levels = levels.join(spots, ["q", "t"], "left_semi")
-        by_word = levels.groupBy("q", "t").agg(F.sort_array(F.collect_list(F.struct((F.col("t") - F.col("s")).alias("k"), "c", F.coalesce("cw", F.lit(0)).alias("cw")))).alias("ls"))
-        p = F.aggregate("ls", F.lit(1.0 / max(total, 1)), lambda p, x: (x["cw"] + F.lit(float(alpha)) * p) / (x["c"] + F.lit(float(alpha))))
-        scored = by_word.select("q", F.log(p).alias("lp"), F.element_at("ls", -1)["k"].alias("k"), (F.element_at("ls", 1)["cw"] == 0).cast("long").alias("unseen"))
-        per = scored.groupBy("q").agg(F.avg("lp").alias("lp"), F.sum("unseen").alias("n_unseen"), F.avg("k").alias("mean_context"), F.max("k").alias("max_context"))
-        per = ids.join(per, "q", "left")
-        none = (F.col("n_words") == 0) | F.lit(total == 0)
-        value = lambda c: F.when(~none, c)
-        out.append(per.select(F.col("id").alias(query_id), "n_words", value(F.round("lp", 6)).alias("log_prob"), value(F.round(F.exp(-F.col("lp")), 4)).alias("perplexity"), value(F.col("n_unseen")).alias("n_unseen"), value(F.round("mean_context", 6)).alias("mean_context"), value(F.col("max_context")).alias("max_context")))
-    return reduce(DataFrame.unionByName, out)
+    spark, path, total = queries.sparkSession, index.path, index.words
+    text_batches(spark)
+    id_type = queries.select(f"`{query_id}`").schema[0].dataType
+
+    def cut(batches):
+        for b in batches:
+            words: list[bytes] = []
+            for at, to, texts in text_slices(b["text"]):
+                w, r = word_hashes(texts)
+                words += [x.tobytes() for x in np.split(w, np.searchsorted(r, np.arange(1, to - at)))]
+            yield pa.RecordBatch.from_arrays([b["id"], b["name"], pa.array(words, pa.binary()), pa.array([len(w) // 8 for w in words], pa.int64())], ["id", "name", "words", "n"])
+
+    named = queries.select(F.col(f"`{query_id}`").alias("id"), _name(F.col(f"`{query_id}`"), F.col("text")).alias("name"), "text")
+    q = materialise(named.mapInArrow(cut, f"id {id_type.simpleString()}, name long, words binary, n long").withColumn("q", F.monotonically_increasing_id()))
+    blocks = max(1, -(-(q.agg(F.sum("n")).first()[0] or 0) // block_words))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+
+    def find(key, table):
+        table = table.sort_by("q")
+        words, sizes = _flat(table["words"], _U)
+        names = table["name"].to_numpy()
+        best, ones, twos = (np.zeros(len(words), np.int64) for _ in range(3))
+        own = np.zeros(len(sizes), np.int64)
+        for shard in _shards(f"{path}/{key[1].as_py()}"):
+            search = Search(shard, words, sizes, names)
+            b, c1, c2 = search.longest()
+            best, ones, twos, own = np.maximum(best, b), ones + c1, twos + c2, own + search.own_words
+        first = key[1].as_py() == 0
+        sent = table["words"] if first else pa.nulls(len(table), pa.binary())
+        return pa.table({"q": table["q"], "name": table["name"], "words": sent, "best": _rows(best.astype(np.int32), sizes), "ones": _rows(ones, sizes), "twos": _rows(twos, sizes), "own": own})
+
+    def contexts(key, parts):
+        # of each query a part a group, the one with its words first
+        parts = parts.append_column("none", pc.is_null(parts["words"])).sort_by([("q", "ascending"), ("none", "ascending")])
+        turn = pa.concat_tables([parts.take(np.arange(g, len(parts), groups)) for g in range(groups)])
+        n = len(parts) // groups
+        head = turn.slice(0, n)
+        words, sizes = _flat(head["words"], _U)
+        best = _over(turn, "best", np.int32, sizes, np.maximum)
+        ones, twos = (_over(turn, c, np.int64, sizes, np.add) for c in ("ones", "twos"))
+        own = turn["own"].to_numpy().reshape(groups, n).sum(axis=0)
+        begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
+        t = np.arange(len(words))
+        # the first place of the document whose run reaches the word: reaches never fall within a document, nor from one to the next
+        s = np.minimum(np.searchsorted(t + best, t), t)
+        s = np.maximum(s, begin)
+        k = t - s
+        before, pairs = np.r_[0, ones[:-1]][: len(t)], np.r_[0, twos[:-1]][: len(t)]
+        return pa.table({
+            "q": head["q"], "name": head["name"], "block": pa.array(np.full(n, key[0].as_py()), pa.int32()), "words": head["words"], "s": _rows((s - begin).astype(np.int32), sizes), "k": _rows(k.astype(np.int32), sizes),
+            "ones": _rows(ones, sizes), "before": _rows(before, sizes), "pairs": _rows(pairs, sizes), "own": own,
+        })
+
+    def count(key, table):
+        table = table.sort_by("q")
+        words, sizes = _flat(table["words"], _U)
+        s, k = (_flat(table[c], np.int32)[0].astype(np.int64) for c in ("s", "k"))
+        long = np.flatnonzero(k >= 2)
+        at = (s + np.repeat(np.cumsum(sizes) - sizes, sizes))[long]
+        c, cw = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for shard in _shards(f"{path}/{key[1].as_py()}"):
+            search = Search(shard, words, sizes, table["name"].to_numpy())
+            c[long] += search.counts(at, k[long])
+            cw[long] += search.counts(at, k[long] + 1)
+        return pa.table({"q": table["q"], "c": _rows(c, sizes), "cw": _rows(cw, sizes)})
+
+    def finish(key, left, right):
+        left, right = left.sort_by("q"), right.sort_by("q")
+        n = len(left)
+        ones, sizes = _flat(left["ones"], np.int64)
+        k = _flat(left["k"], np.int32)[0].astype(np.int64)
+        before, pairs = (_flat(left[x], np.int64)[0] for x in ("before", "pairs"))
+        turn = pa.concat_tables([right.take(np.arange(g, len(right), groups)) for g in range(groups)])
+        c, cw = (_over(turn, x, np.int64, sizes, np.add) for x in ("c", "cw"))
+        others = np.repeat(total - left["own"].to_numpy(), sizes).astype(float)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = (ones + alpha / others) / (others + alpha)
+            p = np.where(k >= 1, (pairs + alpha * p) / (before + alpha), p)
+            p = np.where(k >= 2, (cw + alpha * p) / (c + alpha), p)
+            lp = np.log(p)
+        row = np.repeat(np.arange(n), sizes)
+        some = (sizes > 0) & (total - left["own"].to_numpy() > 0)
+        mean = lambda x: np.bincount(row, x, minlength=n) / np.maximum(sizes, 1)
+        most = np.zeros(n, np.int64)
+        np.maximum.at(most, row, k)
+        column = lambda x, kind: pa.array(x, kind, mask=~some)
+        return pa.table({"q": left["q"], "lp": column(mean(np.where(np.isfinite(lp), lp, 0.0)), pa.float64()), "n_unseen": column(np.bincount(row[ones == 0], minlength=n), pa.int64()), "mean_context": column(mean(k.astype(float)), pa.float64()), "max_context": column(most, pa.int32())})
+
+    placed = q.select("q", "name", "words", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block"))
+    longest = placed.select("*", every).groupBy("block", "group").applyInArrow(find, _LONGEST)
+    longest = longest.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    known = materialise(longest.groupBy("block").applyInArrow(contexts, _CONTEXTS))
+    counted = known.select("q", "name", "words", "s", "k", "block", every).groupBy("block", "group").applyInArrow(count, "q long, c binary, cw binary")
+    counted = counted.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    done = known.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(finish, "q long, lp double, n_unseen long, mean_context double, max_context int")
+    done = materialise(done)
+    out = q.select("q", F.col("id").alias(query_id), F.col("n").alias("n_words")).join(done, "q")
+    out = materialise(out.select(query_id, "n_words", F.round("lp", 6).alias("log_prob"), F.round(F.exp(-F.col("lp")), 4).alias("perplexity"), "n_unseen", F.round("mean_context", 6).alias("mean_context"), "max_context"))
+    for x in (q, known, done):
+        release(x)
+    return out
+
+
+def score_documents(docs: DataFrame, queries: DataFrame, query_id: str = "doc_id") -> DataFrame:
+    """The queries, rows of docs, each scored by all other documents."""
+    index = build_index(docs, query_id)
+    out = score(index, queries, query_id)
+    release_index(index, docs.sparkSession)
+    return out

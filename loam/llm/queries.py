@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loam.llm import decontaminate, html_extract, line_dedup, lm_corpus, near_dedup, packing, quality, secret_scan, sharding, url_filter
+from loam.llm import decontaminate, html_extract, line_dedup, lm_score, near_dedup, packing, quality, secret_scan, sharding, url_filter
 
 
 def _read(spark, sf_dir, name):
@@ -14,7 +14,7 @@ def queries():
         "op1_line_dedup": lambda s, d: line_dedup.dedup_lines(_read(s, d, "documents")),
         "op2_minhash_near_dedup": lambda s, d: near_dedup.dedup_pairs(_read(s, d, "documents")),
         "op3_secret_scan": lambda s, d: secret_scan.scan_secrets(_read(s, d, "documents")),
-        "op4_lm_score": lambda s, d: lm_corpus.score_corpus(_read(s, d, "documents")),
+        "op4_lm_score": lambda s, d: lm_score.score_documents(_read(s, d, "documents"), _read(s, d, "documents").where("doc_id % 100 = 0")),
         "op5_decontamination": lambda s, d: decontaminate.find_leaks(_read(s, d, "documents"), _read(s, d, "benchmark")),
         "op6_url_filter": lambda s, d: url_filter.filter_urls(_read(s, d, "pages")),
         "op7_html_extract": lambda s, d: html_extract.extract_text(_read(s, d, "pages")),

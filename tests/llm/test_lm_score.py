@@ -3,12 +3,12 @@ import re
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from odd_texts import ODD
+from pyspark.sql import functions as F
 
-from loam.llm.lm_corpus import score_corpus
-from loam.llm.lm_score import build_index, score, suffix_array
+from loam.llm.lm_score import build_index, score, score_documents, suffix_array
 from loam.llm.queries import queries
 from loam.llm.words import WORD
 
@@ -17,8 +17,9 @@ def words(t):
     return re.findall(WORD, (t or "").lower())
 
 
-def brute(corpus, query, alpha=1.0):
-    docs = [words(t) for t in corpus]
+def brute(corpus, own, query, alpha=1.0):
+    """corpus of (id, text); own: (id, text) of what is left out."""
+    docs = [words(t) for row in corpus for t in [row[1]] if row != own]
     total = sum(map(len, docs))
     q = words(query)
     if not q or not total:
@@ -29,18 +30,12 @@ def brute(corpus, query, alpha=1.0):
 
     lps, ks, unseen = [], [], 0
     for t, w in enumerate(q):
-        p, k = 1 / total, 0
-        while True:
-            context = q[t - k : t]
-            c = count(context)
-            if not c:
-                break
-            p = (count([*context, w]) + alpha * p) / (c + alpha)
-            k += 1
-            if k > t:
-                break
+        k = next(k for k in range(t, -1, -1) if count(q[t - k : t]))
+        p = 1 / total
+        for n in sorted({0, min(1, k), k}):
+            p = (count(q[t - n : t + 1]) + alpha * p) / (count(q[t - n : t]) + alpha)
         lps.append(math.log(p))
-        ks.append(k - 1)
+        ks.append(k)
         unseen += not count([w])
     return (len(q), sum(lps) / len(q), unseen, sum(ks) / len(q), max(ks))
 
@@ -57,50 +52,81 @@ def test_suffix_array_of_long_repeats_and_large_numbers():
     assert suffix_array(t).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
 
 
-CORPUS = [*ODD, "the cat sat on the mat", "the cat sat on the hat and the cat ran", "a dog sat on the mat", "on the mat the dog and the cat sat on the mat", "x y", "y x y x y x"]
-QUERIES = ["the cat sat on the mat", "the dog ran", "zebra", "", None, "x y x y x y x y", "mat. The; cat!", "word word zebra word"]
+LONG = " ".join(f"w{i % 97} v{i * i % 53}" for i in range(60))
+CORPUS = [
+    *ODD, "the cat sat on the mat", "the cat sat on the hat and the cat ran", "a dog sat on the mat", "on the mat the dog and the cat sat on the mat", "x y", "y x y x y x",
+    LONG, LONG, LONG + " and more", "before " + LONG, LONG[:200] + " turned " + LONG[150:], "z " * 40, "z " * 30, "x y " * 25, "the cat sat on the mat",
+]
+CORPUS = [t for t in CORPUS if len(t or "") < 4000]
+
+
+def same(r, want):
+    n, lp, unseen, mean, most = want
+    assert (r.n_words, r.n_unseen, r.max_context) == (n, unseen, most), (r, want)
+    if lp is None:
+        assert r.log_prob is r.perplexity is r.mean_context is None
+    else:
+        assert abs(r.log_prob - lp) < 1e-5 and abs(r.mean_context - mean) < 1e-5 and abs(r.perplexity - math.exp(-lp)) < 1e-3 * math.exp(-lp), (r, want)
 
 
-@pytest.mark.parametrize("shard_tokens,query_bytes", [(10, 1 << 20), (1 << 20, 20)])
-def test_scores_are_brute_force_s(spark, docs, shard_tokens, query_bytes):
-    d = docs(CORPUS)
-    q = spark.createDataFrame([*enumerate(QUERIES), (None, "the cat"), (1, "the dog ran")], "item_id long, text string").repartition(3)
-    got = score(build_index(d.repartition(2), shard_tokens), q, "item_id", query_bytes=query_bytes).collect()
-    assert len(got) == len(QUERIES) + 2
-    want = {i: brute(CORPUS, t) for i, t in [*enumerate(QUERIES), (None, "the cat")]}
+@pytest.mark.parametrize("shard_words,block_words,groups,alpha", [(10, 1 << 20, 3, 1.0), (1 << 20, 30, 1, 0.3), (150, 100, 4, 1.0)])
+def test_documents_are_scored_by_all_others(docs, shard_words, block_words, groups, alpha):
+    rows = [*enumerate(CORPUS), (None, "the cat"), (None, "the cat"), (3, CORPUS[3]), (1, "the dog ran")]
+    d = docs([*rows]).repartition(3)
+    got = score(build_index(d, "doc_id", shard_words, groups), d, "doc_id", alpha, block_words, groups).collect()
+    assert len(got) == len(rows)
+    left = list(rows)
     for r in got:
-        n, lp, unseen, mean, most = want[r.item_id]
-        assert r.n_words == n and r.n_unseen == unseen and r.max_context == most
-        if lp is None:
-            assert r.log_prob is r.perplexity is r.mean_context is None
-        else:
-            assert abs(r.log_prob - lp) < 1e-5 and abs(r.mean_context - mean) < 1e-5 and abs(r.perplexity - math.exp(-lp)) < 1e-3 * math.exp(-lp)
+        # rows with one id are told apart by what they should give
+        fits = [x for x in left if x[0] == r.doc_id and len(words(x[1])) == r.n_words]
+        for x in fits:
+            try:
+                same(r, brute(rows, x, x[1], alpha))
+            except AssertionError:
+                if x is fits[-1]:
+                    raise
+            else:
+                left.remove(x)
+                break
+    assert not left
 
 
-def test_no_corpus_or_no_queries(spark, docs):
-    q = spark.createDataFrame([(1, "a b")], "item_id long, text string")
-    (r,) = score(build_index(docs([])), q, "item_id").collect()
-    assert (r.n_words, r.log_prob) == (2, None)
-    assert score(build_index(docs(["a"])), q.limit(0), "item_id").collect() == []
+@settings(deadline=None, max_examples=5, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from("abc"), max_size=14), min_size=1, max_size=8), st.integers(1, 40))
+def test_any_documents_of_few_words(spark, docs, texts, shard_words):
+    rows = list(enumerate(" ".join(t) for t in texts))
+    d = docs(rows)
+    for r in score(build_index(d, "doc_id", shard_words, 2), d, groups=2).collect():
+        same(r, brute(rows, rows[r.doc_id], rows[r.doc_id][1]))
+
+
+def test_queries_that_are_no_documents(spark, docs):
+    asked = [*enumerate(["the cat sat on the mat", "the dog ran", "zebra", "", None, "x y x y x y x y", "mat. The; cat!", "word zebra word"])]
+    q = spark.createDataFrame(asked, "item_id long, text string").repartition(3)
+    rows = [(i + 100, t) for i, t in enumerate(CORPUS)]
+    got = score(build_index(docs(rows), groups=2), q, "item_id", groups=2).collect()
+    assert len(got) == len(asked)
+    for r in got:
+        same(r, brute(rows, None, dict(asked)[r.item_id]))
 
 
-LONG = " ".join(f"w{i % 97} v{i * i % 53}" for i in range(150))
-WHOLE = [*CORPUS, *QUERIES, (None, "the cat"), (1, "the dog ran"), LONG, LONG, LONG + " and more", "before " + LONG, LONG[:400] + " turned " + LONG[300:], "z " * 200, "z " * 90, ("x y " * 70)]
+def test_a_query_of_twenty_thousand_words_that_the_corpus_has(docs):
+    long = " ".join(f"u{i * i % 1013}v{i % 7}" for i in range(20_000))
+    d = docs([long, "start " + long, "another one"])
+    r = score_documents(d, d.where("doc_id = 0")).first()
+    assert r.n_words == 20_000 and r.n_unseen == 0 and r.max_context == 19_999 and r.mean_context == 9_999.5
 
 
-@pytest.mark.parametrize("chunk_words,alpha", [(1 << 20, 1.0), (300, 0.3)])
-def test_every_document_is_scored_by_its_own_corpus(docs, chunk_words, alpha):
-    d = docs(WHOLE).repartition(3)
-    got = sorted(map(tuple, score_corpus(d, alpha=alpha, chunk_words=chunk_words).collect()), key=str)
-    want = sorted(map(tuple, score(build_index(d), d, "doc_id", alpha).collect()), key=str)
-    assert len(got) == len(want) == len(WHOLE)
-    for g, w in zip(got, want):
-        assert g[:2] == w[:2] and g[4:] == w[4:], (g, w)
-        assert (g[2] is None) == (w[2] is None) and (g[2] is None or (abs(g[2] - w[2]) < 2e-6 and abs(g[3] - w[3]) < 2e-4)), (g, w)
+def test_no_corpus_or_no_queries_and_clashing_columns(spark, docs):
+    q = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    (r,) = score(build_index(docs([])), q, "item_id").collect()
+    assert (r.n_words, r.log_prob) == (2, None)
+    assert score(build_index(docs(["a"])), q.limit(0), "item_id").collect() == []
+    d = docs(["a b", "a b c"]).select("*", F.lit(1).alias("q"), F.lit(2).alias("name"), F.lit("x").alias("block.n"))
+    assert sorted(r.n_words for r in score_documents(d, d).collect()) == [2, 3]
 
 
-def test_op4_scores_documents_and_no_corpus_gives_no_rows(spark, docs):
-    assert score_corpus(docs([])).collect() == []
+def test_op4_scores_every_hundredth_document(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = queries()["op4_lm_score"](spark, "/root/testdata/sf0.001")
-    assert "doc_id" in got.columns and got.count() == d.count()
+    assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in d.where("doc_id % 100 = 0").collect())
