@@ -45,7 +45,9 @@ from pyspark.sql import functions as F
 from loam.llm.words import mix, text_slices, word_hashes
 from loam.runtime import drop_folder, materialise, release, shared_dir, text_batches
 
-SHARD_WORDS, BLOCK_WORDS, GROUPS, ALPHA = 2_000_000, 1 << 18, 16, 1.0
+SHARD_WORDS, BLOCK_WORDS, GROUPS, ALPHA = 2_000_000, 1 << 19, 8, 1.0
+#: Contexts of fewer words than this are counted in the first pass.
+FEW = 3
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -149,14 +151,15 @@ class Shard:
         self.order = raw.view(np.int32).ravel()
         self.owners, inverse = np.unique(get("owners", np.int64), return_inverse=True)
         #: of each suffix in turn, which owner's document it begins in
-        self.owner = np.repeat(inverse, size + 1)[self.order]
+        self.owner = np.repeat(inverse.astype(np.int32), size + 1)[self.order]
         self.words_of = np.bincount(inverse, size, minlength=len(self.owners)).astype(np.int64)
         self.bits = max(1, int(len(self.vocabulary) + self.docs + 1).bit_length())
         self.depth = 62 // self.bits
-        padded = np.r_[self.tokens, np.full(self.depth, -1, np.int32)].astype(np.int64) + 1
+        padded = np.r_[self.tokens, np.full(self.depth, -1, np.int32)] + np.int32(1)
         self.keys = np.zeros(n, np.int64)
         for j in range(self.depth):
-            self.keys = (self.keys << self.bits) | padded[self.order + j]
+            self.keys <<= self.bits
+            self.keys |= padded[j:][self.order]
         self._hash: np.ndarray | None = None
 
     @property
@@ -203,11 +206,13 @@ class Search:
         asked = np.zeros(len(shard.owners), bool)
         asked[own[own >= 0]] = True
         at = np.flatnonzero(asked[shard.owner])
-        self._own = np.sort(shard.owner[at] * (len(shard.order) + 1) + at)
+        self._own = np.sort(shard.owner[at].astype(np.int64) * (len(shard.order) + 1) + at)
         padded = np.r_[self.ids, np.zeros(shard.depth, np.int64)] + 1
         self.key = np.zeros(n, np.int64)
         for j in range(shard.depth):
             self.key = (self.key << shard.bits) | padded[j : j + n]
+        #: places in order of their first words, and each place's turn in it
+        self.by = np.argsort(self.key)
         self._hash: np.ndarray | None = None
 
     @property
@@ -225,13 +230,10 @@ class Search:
         return out
 
     def _short(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The range of suffixes that begin with the k words from each s, k within the keys' depth."""
+        """The range of suffixes that begin with the k words from each s, k within the keys' depth; quick where s go by their words."""
         shift = self.shard.bits * (self.shard.depth - k)
         low = self.key[s] >> shift << shift
-        by = np.argsort(low)
-        lo, hi = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
-        lo[by], hi[by] = np.searchsorted(self.shard.keys, low[by]), np.searchsorted(self.shard.keys, low[by] + (1 << shift))
-        return lo, hi
+        return np.searchsorted(self.shard.keys, low), np.searchsorted(self.shard.keys, low + (1 << shift))
 
     def _same(self, s: np.ndarray, at: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Whether the k words from each s are those from the corpus's at on."""
@@ -273,21 +275,21 @@ class Search:
             live = live[lo[live] < hi[live]]
         return lo
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word the longest run from it on that another's document has, and how often the word and the pair from it on are there."""
+    def longest(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each word the longest run from it on that another's document has, and how often its first 1, 2 and 3 words are there."""
         n, depth, sh = len(self.ids), self.shard.depth, self.shard
-        best, ones, twos = (np.zeros(n, np.int64) for _ in range(3))
-        live = np.flatnonzero(self.room > 0)
+        best, few = np.zeros(n, np.int64), [np.zeros(n, np.int64) for _ in range(FEW)]
+        live = self.by[self.room[self.by] > 0]
         lo = hi = np.zeros(0, np.int64)
         for k in range(1, depth + 1):
             live = live[self.room[live] >= k]
             lo, hi = self._short(live, k)
             count = hi - lo - self.own(self.group[live], lo, hi)
             keep = count > 0
-            live, lo, hi, count = live[keep], lo[keep], hi[keep], count[keep]
+            live, lo, hi = live[keep], lo[keep], hi[keep]
             best[live] = k
-            if k <= 2:
-                (ones, twos)[k - 1][live] = count
+            if k <= FEW:
+                few[k - 1][live] = count[keep]
         more = self.room[live] > depth
         s, lo, hi = live[more], lo[more], hi[more]
         if len(s):
@@ -303,7 +305,10 @@ class Search:
                 ok = np.flatnonzero((at >= lo) & (at < hi))
                 got = self._agree(s[ok], sh.order[at[ok]].astype(np.int64), depth, most[ok])
                 best[s[ok]] = np.maximum(best[s[ok]], got)
-        return best, ones, twos
+        for k in range(depth + 1, FEW + 1):
+            some = np.flatnonzero(best >= k)
+            few[k - 1][some] = self.counts(some, np.full(len(some), k))
+        return best, few
 
     @property
     def _edges(self) -> tuple[np.ndarray, np.ndarray]:
@@ -317,6 +322,14 @@ class Search:
 
     def counts(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
         """How often others' documents have the run of k words from each s."""
+        if len(s):
+            by = np.argsort(self.key[s])
+            out = np.empty(len(s), np.int64)
+            out[by] = self._counts(s[by], k[by])
+            return out
+        return np.zeros(0, np.int64)
+
+    def _counts(self, s: np.ndarray, k: np.ndarray) -> np.ndarray:
         out, depth = np.zeros(len(s), np.int64), self.shard.depth
         can = (k > 0) & (k <= self.room[np.minimum(s, max(len(self.ids) - 1, 0))]) if len(self.ids) else np.zeros(len(s), bool)
         for d in range(1, depth + 1):
@@ -391,8 +404,8 @@ def _over(parts: pa.Table, column: str, kind, sizes: np.ndarray, how) -> np.ndar
     return values
 
 
-_LONGEST = "q long, name long, words binary, best binary, ones binary, twos binary, own long"
-_CONTEXTS = "q long, name long, block int, words binary, s binary, k binary, ones binary, before binary, pairs binary, own long"
+_LONGEST = "q long, name long, words binary, best binary, c1 binary, c2 binary, c3 binary, own long"
+_CONTEXTS = "q long, name long, block int, words binary, long binary, s binary, k binary, context binary, c1 binary, c2 binary, c3 binary, own long"
 
 
 def score(index: Index, queries: DataFrame, query_id: str = "doc_id", alpha: float = ALPHA, block_words: int = BLOCK_WORDS, groups: int = GROUPS) -> DataFrame:
@@ -419,15 +432,17 @@ def score(index: Index, queries: DataFrame, query_id: str = "doc_id", alpha: flo
         table = table.sort_by("q")
         words, sizes = _flat(table["words"], _U)
         names = table["name"].to_numpy()
-        best, ones, twos = (np.zeros(len(words), np.int64) for _ in range(3))
+        best, few = np.zeros(len(words), np.int64), [np.zeros(len(words), np.int64) for _ in range(FEW)]
         own = np.zeros(len(sizes), np.int64)
         for shard in _shards(f"{path}/{key[1].as_py()}"):
             search = Search(shard, words, sizes, names)
-            b, c1, c2 = search.longest()
-            best, ones, twos, own = np.maximum(best, b), ones + c1, twos + c2, own + search.own_words
-        first = key[1].as_py() == 0
-        sent = table["words"] if first else pa.nulls(len(table), pa.binary())
-        return pa.table({"q": table["q"], "name": table["name"], "words": sent, "best": _rows(best.astype(np.int32), sizes), "ones": _rows(ones, sizes), "twos": _rows(twos, sizes), "own": own})
+            b, c = search.longest()
+            np.maximum(best, b, out=best)
+            for have, more in zip(few, c):
+                have += more
+            own += search.own_words
+        sent = table["words"] if key[1].as_py() == 0 else pa.nulls(len(table), pa.binary())
+        return pa.table({"q": table["q"], "name": table["name"], "words": sent, "best": _rows(best.astype(np.int32), sizes), **{f"c{i + 1}": _rows(c, sizes) for i, c in enumerate(few)}, "own": own})
 
     def contexts(key, parts):
         # of each query a part a group, the one with its words first
@@ -437,49 +452,63 @@ def score(index: Index, queries: DataFrame, query_id: str = "doc_id", alpha: flo
         head = turn.slice(0, n)
         words, sizes = _flat(head["words"], _U)
         best = _over(turn, "best", np.int32, sizes, np.maximum)
-        ones, twos = (_over(turn, c, np.int64, sizes, np.add) for c in ("ones", "twos"))
+        few = {f"c{i}": _rows(_over(turn, f"c{i}", np.int64, sizes, np.add), sizes) for i in range(1, FEW + 1)}
         own = turn["own"].to_numpy().reshape(groups, n).sum(axis=0)
         begin = np.repeat(np.cumsum(sizes) - sizes, sizes)
         t = np.arange(len(words))
-        # the first place of the document whose run reaches the word: reaches never fall within a document, nor from one to the next
-        s = np.minimum(np.searchsorted(t + best, t), t)
-        s = np.maximum(s, begin)
+        # the first place whose run reaches the word: reaches never fall within a document, nor from one to the next
+        s = np.maximum(np.minimum(np.searchsorted(t + best, t), t), begin)
         k = t - s
-        before, pairs = np.r_[0, ones[:-1]][: len(t)], np.r_[0, twos[:-1]][: len(t)]
+        long = np.flatnonzero(k >= FEW)
+        per = np.bincount(np.searchsorted(np.cumsum(sizes), long, side="right"), minlength=n)
         return pa.table({
-            "q": head["q"], "name": head["name"], "block": pa.array(np.full(n, key[0].as_py()), pa.int32()), "words": head["words"], "s": _rows((s - begin).astype(np.int32), sizes), "k": _rows(k.astype(np.int32), sizes),
-            "ones": _rows(ones, sizes), "before": _rows(before, sizes), "pairs": _rows(pairs, sizes), "own": own,
+            "q": head["q"], "name": head["name"], "block": pa.array(np.full(n, key[0].as_py()), pa.int32()), "words": head["words"], "long": _rows((long - begin[long]).astype(np.int32), per),
+            "s": _rows((s - begin)[long].astype(np.int32), per), "k": _rows(k[long].astype(np.int32), per), "context": _rows(k.astype(np.int32), sizes), **few, "own": own,
         })
 
     def count(key, table):
         table = table.sort_by("q")
         words, sizes = _flat(table["words"], _U)
-        s, k = (_flat(table[c], np.int32)[0].astype(np.int64) for c in ("s", "k"))
-        long = np.flatnonzero(k >= 2)
-        at = (s + np.repeat(np.cumsum(sizes) - sizes, sizes))[long]
-        c, cw = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        (s, per), (k, _) = (_flat(table[c], np.int32) for c in ("s", "k"))
+        at, k = s + np.repeat(np.cumsum(sizes) - sizes, per), k.astype(np.int64)
+        c, cw = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
         for shard in _shards(f"{path}/{key[1].as_py()}"):
             search = Search(shard, words, sizes, table["name"].to_numpy())
-            c[long] += search.counts(at, k[long])
-            cw[long] += search.counts(at, k[long] + 1)
-        return pa.table({"q": table["q"], "c": _rows(c, sizes), "cw": _rows(cw, sizes)})
+            here = search.counts(at, k)
+            c += here
+            some = np.flatnonzero(here)
+            cw[some] += search.counts(at[some], k[some] + 1)
+        return pa.table({"q": table["q"], "c": _rows(c, per), "cw": _rows(cw, per)})
 
     def finish(key, left, right):
         left, right = left.sort_by("q"), right.sort_by("q")
         n = len(left)
-        ones, sizes = _flat(left["ones"], np.int64)
-        k = _flat(left["k"], np.int32)[0].astype(np.int64)
-        before, pairs = (_flat(left[x], np.int64)[0] for x in ("before", "pairs"))
+        k, sizes = _flat(left["context"], np.int32)
+        k = k.astype(np.int64)
+        few = [np.full(len(k), total)] + [_flat(left[f"c{i}"], np.int64)[0] for i in range(1, FEW + 1)]
+        long, per = _flat(left["long"], np.int32)
+        long = long + np.repeat(np.cumsum(sizes) - sizes, per)
         turn = pa.concat_tables([right.take(np.arange(g, len(right), groups)) for g in range(groups)])
-        c, cw = (_over(turn, x, np.int64, sizes, np.add) for x in ("c", "cw"))
-        others = np.repeat(total - left["own"].to_numpy(), sizes).astype(float)
+        own = left["own"].to_numpy()
+        few[0] = np.repeat(total - own, sizes)
+
+        def level(p, j, where):
+            """Smoothed by the context of j words before: counts of runs are kept at their first word."""
+            some = np.flatnonzero(where)
+            p[some] = (few[j + 1][some - j] + alpha * p[some]) / (few[j][some - j] + alpha)
+
         with np.errstate(divide="ignore", invalid="ignore"):
-            p = (ones + alpha / others) / (others + alpha)
-            p = np.where(k >= 1, (pairs + alpha * p) / (before + alpha), p)
-            p = np.where(k >= 2, (cw + alpha * p) / (c + alpha), p)
+            p = 1 / few[0].astype(float)
+            level(p, 0, k >= 0)
+            level(p, 1, k >= 1)
+            for j in range(2, FEW):
+                level(p, j, k == j)
+            held = per[per > 0]
+            p[long] = (_over(turn, "cw", np.int64, held, np.add) + alpha * p[long]) / (_over(turn, "c", np.int64, held, np.add) + alpha)
             lp = np.log(p)
+        ones = few[1]
         row = np.repeat(np.arange(n), sizes)
-        some = (sizes > 0) & (total - left["own"].to_numpy() > 0)
+        some = (sizes > 0) & (total > own)
         mean = lambda x: np.bincount(row, x, minlength=n) / np.maximum(sizes, 1)
         most = np.zeros(n, np.int64)
         np.maximum.at(most, row, k)
@@ -490,7 +519,7 @@ def score(index: Index, queries: DataFrame, query_id: str = "doc_id", alpha: flo
     longest = placed.select("*", every).groupBy("block", "group").applyInArrow(find, _LONGEST)
     longest = longest.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     known = materialise(longest.groupBy("block").applyInArrow(contexts, _CONTEXTS))
-    counted = known.select("q", "name", "words", "s", "k", "block", every).groupBy("block", "group").applyInArrow(count, "q long, c binary, cw binary")
+    counted = known.where("octet_length(long) > 0").select("q", "name", "words", "s", "k", "block", every).groupBy("block", "group").applyInArrow(count, "q long, c binary, cw binary")
     counted = counted.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
     done = known.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(finish, "q long, lp double, n_unseen long, mean_context double, max_context int")
     done = materialise(done)
