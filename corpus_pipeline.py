@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that other documents repeat; one document keeps each."""
-    return line_dedup.keep_one_line_of_each(docs)
+    """Texts without the repeated lines that other documents keep; what is all such lines goes, copies stay whole for the next stage."""
+    return line_dedup.dedup_lines_in_place(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

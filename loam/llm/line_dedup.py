@@ -1,31 +1,37 @@
 """Line dedup by a sharded minimal perfect hash over the distinct lines' hashes.
 
-Lines are compared trimmed of spaces; blank lines are never judged.  The documents' distinct line hashes
-are counted, sharded by SHARD_LINES, and each shard is turned into a minimal perfect hash (levels of bit arrays with a
-rank directory) that indexes an array of 16-bit fingerprints and one of 16-bit counts of documents, about
-4.5 bytes a distinct line.  Documents then probe the arrays: a line in MIN_DOCS documents or more is
-repeated and is taken out of every document, except where repeated lines make up more than MAX_REMOVED of
-a document's characters: such a document is a copy as a whole, which is the near-duplicate stage's matter,
-and stays as it is.
-
-While all arrays are within LOCAL_BYTES each worker reads them once from the shared folder and documents
-are not shuffled.  Beyond, hashes of documents travel to the shards (salted, so that no hot line makes a
-hot task), each worker holds one shard at a time, and only repeated lines travel back.
-
-Defined results: a null text stays null and has no lines; rows are judged by text alone, so null or
-repeated ids are no matter, and a repeated row counts as one more document; a line repeated within one
-document counts once; empty tables give empty results; columns whose names begin with __loam_ are reserved.
+Lines are compared trimmed of spaces; blank lines are never judged.  The documents' distinct line hashes are counted,
+sharded by SHARD_LINES, and each shard is turned into a minimal perfect hash (levels of bit arrays with a rank
+directory) that indexes an array of 16-bit fingerprints and one of 16-bit counts of documents, about 4.5 bytes a
+distinct line; for lines of two documents or more two further arrays name the document that keeps the line, the one
+of least doc_id (null first), and its size.  Documents then probe the arrays.
+
+A line is repeated if MIN_DOCS documents have it, or, where it is long (LONG_WORDS words, or LONG_CHARS characters for
+scripts without blanks), if two have.  A repeated line stays in the document that keeps it and goes from all others,
+whatever share of them it is, so nothing vanishes from the corpus.  Only where a document is a copy of another as a
+whole, all but the lines that third documents keep, are the lines that this other one keeps left to it: copies are the
+near-duplicate stage's matter, and a copy without its lines would be a shred that no stage knows again.  A copy: by
+characters of lines, a similarity (shared / all) of COPY or more to the other document, less what goes of either.
+
+While all arrays are within LOCAL_BYTES each worker reads them once from the shared folder and documents are not
+shuffled.  Beyond, hashes of documents' lines travel to the shards (salted, so that no hot line makes a hot task),
+each worker holds one shard at a time, and only lines of two documents or more travel back.
+
+Defined results: a null text stays null and has no lines; a repeated row counts as one more document; rows of one
+doc_id, or of null ids, count as one document when it is decided which keeps a line, so repeated rows stay alike; a
+line repeated within one document counts once and is not taken from itself; very long texts and lines are judged
+whole; empty tables give empty results; columns whose names begin with __loam_ are reserved, others may have any name.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,13 +39,13 @@ from pyspark.sql import types as T
 from loam.llm.words import mix
 from loam.runtime import materialise, release, shared_dir, small_side
 
-MIN_DOCS, MAX_REMOVED = 5, 0.5
-LONG_WORDS, LONG_CHARS = 20, 100
+MIN_DOCS, LONG_WORDS, LONG_CHARS = 5, 20, 100
+#: The least similarity of a copy, as a fraction; near-dedup finds 99 of 100 pairs from there on.
+COPY = (3, 5)
 LOCAL_BYTES, SHARD_LINES = 64 << 20, 1 << 20
 SALTS = 16
 _U = np.uint64
 _GAMMA, _LEVELS = 2, 48
-_INDEX = "shard int, n long, sizes array<long>, bits binary, prints binary, counts binary, rest binary"
 
 
 class PerfectHash:
@@ -96,54 +102,69 @@ class Shard:
         array = lambda k, t: np.frombuffer(row[k], t)
         self.hash = PerfectHash(np.array(row["sizes"], np.int64), array("bits", _U), array("rest", _U))
         self.prints, self.counts = array("prints", np.uint16), array("counts", np.uint16)
+        self.keepers, self.keeper_sizes = array("keepers", np.uint32), array("keeper_sizes", np.uint32)
+        # lines of two documents or more, in order of their numbers, have a keeper
+        self.turn = np.cumsum(self.counts >= 2) - 1
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """Documents that have each key's line; 0 for a line whose fingerprint is not the indexed one."""
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each key's line how many documents have it, 0 where its fingerprint is not the indexed one, which keeps it, and that one's size."""
+        n, keeper, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         at = self.hash(keys)
-        ok = at >= 0
-        at = np.where(ok, at, 0)
-        return np.where(ok & (self.prints[at] == _print(keys)), self.counts[at], 0) if len(self.counts) else np.zeros(len(keys), np.uint16)
+        ok = np.flatnonzero(at >= 0)
+        ok = ok[self.prints[at[ok]] == _print(keys[ok])]
+        n[ok] = self.counts[at[ok]]
+        some = np.flatnonzero(n >= 2)
+        turn = self.turn[at[some]]
+        keeper[some], size[some] = self.keepers[turn], self.keeper_sizes[turn]
+        return n, keeper, size
 
 
-def build_shard(table: pa.Table) -> pa.Table:
+def build_shard(table: pa.Table) -> dict:
     keys = table["h"].to_numpy().view(_U)
     counts = np.minimum(table["n"].to_numpy(), 65535).astype(np.uint16)
     h = PerfectHash.build(keys)
     at = h(keys)
-    prints, values = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16)
-    prints[at], values[at] = _print(keys), counts
-    row = {"shard": table["shard"][0].as_py(), "n": len(keys), "sizes": h.sizes.tolist(), "bits": h.bits.tobytes(), "prints": prints.tobytes(), "counts": values.tobytes(), "rest": h.rest.tobytes()}
-    schema = pa.schema([("shard", pa.int32()), ("n", pa.int64()), ("sizes", pa.list_(pa.int64())), *[(k, pa.binary()) for k in ("bits", "prints", "counts", "rest")]])
-    return pa.Table.from_pylist([row], schema)
+    prints, values, order = np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.uint16), np.zeros(len(keys), np.int64)
+    prints[at], values[at], order[at] = _print(keys), counts, np.arange(len(keys))
+    order = order[values >= 2]
+    keepers = _short_name(table["keeper"].to_numpy()[order]).astype(np.uint32)
+    sizes = np.minimum(table["keeper_size"].to_numpy()[order], 2**32 - 1).astype(np.uint32)
+    return {"sizes": h.sizes.tolist(), "bits": h.bits.tobytes(), "prints": prints.tobytes(), "counts": values.tobytes(), "rest": h.rest.tobytes(), "keepers": keepers.tobytes(), "keeper_sizes": sizes.tobytes()}
 
 
-_loaded: dict[str, dict[int, Shard]] = {}
+def _short_name(ids: np.ndarray) -> np.ndarray:
+    """32 bits of a document's 64-bit name."""
+    return (ids.view(_U) >> _U(32)).astype(np.int64)
 
 
-def _load(place: dict[int, str], shard: int, keep: int) -> Shard | None:
-    """A shard of the files in the shared folder; at most keep files stay in the worker."""
-    uri = place.get(shard)
-    if uri is None:
-        return None
-    if uri not in _loaded:
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+
+
+_loaded: dict[tuple[str, int], Shard] = {}
+
+
+def _load(path: str, shard: int, keep: int) -> Shard:
+    """A shard from the shared folder; at most keep of them stay in the worker."""
+    if (path, shard) not in _loaded:
         while len(_loaded) >= keep:
             _loaded.pop(next(iter(_loaded)))
-        fs, path = pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
-        with fs.open_input_file(path) as f:
-            _loaded[uri] = {r["shard"]: Shard(r) for r in pq.read_table(f).to_pylist()}
-    return _loaded[uri][shard]
+        fs, p = _place(f"{path}/{shard}.parquet")
+        with fs.open_input_file(p) as f:
+            (row,) = pq.read_table(f).to_pylist()
+        _loaded[path, shard] = Shard(row)
+    return _loaded[path, shard]
 
 
-def probe(keys: np.ndarray, place: dict[int, str], shards: int, keep: int) -> np.ndarray:
-    """Counts of documents for signed 64-bit line hashes."""
+def probe(keys: np.ndarray, path: str, shards: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, keeper and its size for signed 64-bit hashes of lines that the index was built over."""
     which = (keys % shards).astype(np.int64)
-    out = np.zeros(len(keys), np.int64)
+    out = tuple(np.zeros(len(keys), np.int64) for _ in range(3))
     order = np.argsort(which, kind="stable")
     edges = np.flatnonzero(np.diff(which[order])) + 1
     for part in np.split(order, edges) if len(order) else []:
-        s = _load(place, int(which[part[0]]), keep)
-        if s is not None:
-            out[part] = s.count(keys[part].view(_U))
+        for have, found in zip(out, _load(path, int(which[part[0]]), keep).find(keys[part].view(_U))):
+            have[part] = found
     return out
 
 
@@ -152,133 +173,190 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\\n"), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[dict[int, str], int, int]:
-    """Writes the sharded arrays: each shard's file, the number of shards, and the bytes of all."""
+def _size(text: Column) -> Column:
+    """Characters of lines that aren't blank."""
+    return F.aggregate(F.split(text, "\\n"), F.lit(0).cast("long"), lambda a, x: a + F.when(F.trim(x) != "", F.length(x)).otherwise(0))
+
+
+def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int, int]:
+    """Writes the sharded arrays: their folder, the number of shards, and the bytes of all."""
     spark = docs.sparkSession
-    lines = docs.select(F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
-    counted = materialise(lines.groupBy("h").agg(F.count("*").alias("n")))
+    lines = docs.select(F.named_struct(F.lit("doc_id"), F.col("doc_id"), F.lit("size"), _size(F.col("text"))).alias("doc"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
+    counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
+    counted = materialise(counted.select("h", "n", F.xxhash64("doc.doc_id").alias("keeper"), F.col("doc.size").alias("keeper_size")))
     shards = max(1, -(-counted.count() // shard_lines))
     path = shared_dir(spark)
-    counted.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build_shard, _INDEX).write.parquet(path)
-    release(counted)
-    rows = spark.read.schema(_INDEX).parquet(path).select("shard", F.input_file_name().alias("file"), (F.length("bits") + 4 * F.col("n") + F.length("rest")).alias("bytes")).collect()
-    return {r.shard: sys.intern(r.file) for r in rows}, shards, sum(r.bytes for r in rows)
-
-
-def _as_list(like: pa.Array, values: np.ndarray) -> pa.Array:
-    offsets = like.offsets.to_numpy() - like.offsets[0].as_py()
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=like.is_null() if like.null_count else None)
 
-
-def _flags_local(place: dict[int, str], shards: int, min_docs: int):
-    @F.arrow_udf(T.ArrayType(T.BooleanType()))
-    def repeated(keys: pa.Array) -> pa.Array:
-        flat = keys.flatten() if not keys.null_count else keys.values.slice(keys.offsets[0].as_py(), keys.offsets[-1].as_py() - keys.offsets[0].as_py())
-        blank = flat.is_null().to_numpy(zero_copy_only=False)
-        n = probe(flat.fill_null(0).to_numpy(), place, shards, len(place) + 1)
-        return _as_list(keys, (n >= min_docs) & ~blank)
-
-    return repeated
-
-
-def _flags_routed(docs: DataFrame, place: dict[int, str], shards: int, min_docs: int) -> DataFrame:
-    """k1, k2 (the text's key) and the hashes of its repeated lines, for texts that have any."""
+    def build(key, table):
+        row = build_shard(table)
+        fs, p = _place(f"{path}/{key[0].as_py()}.parquet")
+        fs.create_dir(p.rpartition("/")[0], recursive=True)
+        # a task that runs again writes the same; a file appears whole
+        part = f"{p}.{TaskContext.get().taskAttemptId()}"
+        with fs.open_output_stream(part) as f:
+            pq.write_table(pa.Table.from_pylist([row]), f)
+        fs.move(part, p)
+        return pa.table({"bytes": [sum(len(v) for v in row.values() if isinstance(v, bytes))]})
+
+    built = counted.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(build, "bytes long")
+    size = built.agg(F.sum("bytes")).first()[0] or 0
+    release(counted)
+    return path, shards, size
+
+
+def _judge(keys: pa.Array, lengths: pa.Array, long: pa.Array, names: pa.Array, found: tuple[np.ndarray, np.ndarray, np.ndarray], min_docs: int) -> pa.Array:
+    """For each line of each text 0, 1 if it is repeated and stays, or 2 if it goes."""
+    n, keeper, keeper_size = found
+    row = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+    length, long = lengths.flatten().to_numpy(), long.flatten().to_numpy(zero_copy_only=False)
+    own = _short_name(names.to_numpy())
+    repeated = (n >= min_docs) | (long & (n >= 2))
+    other = (n >= 2) & (keeper != own[row])
+    out = repeated.astype(np.int8)
+    goes = np.flatnonzero(repeated & other)
+    if len(goes):
+        size = np.bincount(row, length * (keys.flatten().to_numpy() != 0), minlength=len(keys)).astype(np.int64)
+        at = np.flatnonzero(other)
+        order = at[np.lexsort((keeper_size[at], keeper[at], row[at]))]
+        r, k, z = row[order], keeper[order], keeper_size[order]
+        head = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (k[1:] != k[:-1]) | (z[1:] != z[:-1])])
+        shared, taken = np.add.reduceat(length[order], head), np.add.reduceat(length[order] * repeated[order], head)
+        r, k, z = r[head], k[head], z[head]
+        third = np.bincount(r, taken, minlength=len(keys)).astype(np.int64)[r] - taken
+        either = size[r] - third + np.maximum(z - third, shared) - shared
+        copy = COPY[1] * shared >= COPY[0] * either
+        copies = set(zip(r[copy].tolist(), k[copy].tolist(), z[copy].tolist()))
+        stays = np.array([x in copies for x in zip(row[goes].tolist(), keeper[goes].tolist(), keeper_size[goes].tolist())], bool) if copies else np.zeros(len(goes), bool)
+        out[goes[~stays]] = 2
+    return pa.ListArray.from_arrays(pa.array(keys.offsets.to_numpy() - keys.offsets[0].as_py(), pa.int32()), pa.array(out))
+
+
+_LINES = ["__loam_keys", "__loam_lengths", "__loam_long", "__loam_name"]
+
+
+def _with_lines(docs: DataFrame) -> DataFrame:
+    """docs with each text's lines: hashes (0 for a blank one), lengths, whether long; and the document's name."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\\n")
+    trimmed = F.transform(lines, lambda x: F.trim(x))
+    return docs.withColumns({
+        "__loam_keys": F.transform(trimmed, lambda x: F.when(x != "", F.xxhash64(x)).otherwise(0)),
+        "__loam_lengths": F.transform(lines, lambda x: F.length(x)),
+        "__loam_long": F.transform(trimmed, lambda x: (F.length(x) >= LONG_CHARS) | (F.size(F.split(x, "[ \\t]+")) >= LONG_WORDS)),
+        "__loam_name": F.xxhash64("doc_id"),
+    })
+
+
+_FLAGS = T.ArrayType(T.ByteType())
+
+
+def _flags_local(path: str, shards: int, min_docs: int):
+    def flags(keys: pa.Array, lengths: pa.Array, long: pa.Array, names: pa.Array) -> pa.Array:
+        flat = keys.flatten().to_numpy()
+        filled = np.flatnonzero(flat)
+        found = tuple(np.zeros(len(flat), np.int64) for _ in range(3))
+        for have, x in zip(found, probe(flat[filled], path, shards, shards)):
+            have[filled] = x
+        return _judge(keys, lengths, long, names, found, min_docs)
+
+    return F.arrow_udf(flags, _FLAGS)
+
+
+def _found_routed(docs: DataFrame, path: str, shards: int) -> DataFrame:
+    """k1, k2 (the text's key) and found: what the index has of its lines that are in two documents or more."""
 
     def seek(batches):
         for b in batches:
-            n = probe(b["h"].to_numpy(), place, shards, 1)
-            yield b.filter(pa.array(n >= min_docs))
+            n, keeper, size = probe(b["h"].to_numpy(), path, shards, 1)
+            some = np.flatnonzero(n >= 2)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(some)).columns, *[pa.array(x[some]) for x in (n, keeper, size)]], [*b.schema.names, "n", "keeper", "size"])
 
     lines = docs.select(*_text_key(), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
     lines = lines.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("salt", F.pmod("k1", F.lit(SALTS)))
     lines = lines.repartition("shard", "salt").sortWithinPartitions("shard").select("k1", "k2", "h")
-    return lines.mapInArrow(seek, "k1 long, k2 long, h long").groupBy("k1", "k2").agg(F.collect_set("h").alias("bad"))
+    back = lines.mapInArrow(seek, "k1 long, k2 long, h long, n long, keeper long, size long")
+    return back.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "n", "keeper", "size")).alias("found"))
 
 
 def _text_key() -> list[Column]:
     return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("k2"), "text").alias("k2")]
 
 
-@F.arrow_udf(T.ArrayType(T.BooleanType()))
-def _among(keys: pa.Array, bad: pa.Array) -> pa.Array:
-    out = [None if k is None else [x is not None and x in b for x in k] for k, b in zip(keys.to_pylist(), (set(x or ()) for x in bad.to_pylist()))]
-    return pa.array(out, pa.list_(pa.bool_()))
+def _flags_of_found(min_docs: int):
+    def flags(keys: pa.Array, lengths: pa.Array, long: pa.Array, names: pa.Array, known: pa.Array) -> pa.Array:
+        flat = keys.flatten().to_numpy()
+        row = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+        found = tuple(np.zeros(len(flat), np.int64) for _ in range(3))
+        have = known.flatten()
+        if len(have):
+            # a text's lines are told apart by hash, texts by number
+            of = np.repeat(np.arange(len(known)), known.value_lengths().fill_null(0).to_numpy())
+            h, *values = (have.field(i).to_numpy() for i in range(4))
+            want = mix(flat.view(_U) ^ mix(row.astype(_U)))
+            there = mix(h.view(_U) ^ mix(of.astype(_U)))
+            order = np.argsort(there)
+            at = np.minimum(np.searchsorted(there[order], want), len(order) - 1)
+            ok = np.flatnonzero((there[order][at] == want) & (flat != 0))
+            for x, v in zip(found, values):
+                x[ok] = v[order][at[ok]]
+        return _judge(keys, lengths, long, names, found, min_docs)
+
+    return F.arrow_udf(flags, _FLAGS)
 
 
 def flag_lines(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """docs with __loam_repeated: for each line whether it is repeated, null for a null text."""
-    if not 1 <= min_docs <= 65535:
-        raise ValueError("counts are kept up to 65535")
-    place, shards, size = build_index(docs, shard_lines)
+    """docs with __loam_flags: for each line 0, 1 if it is repeated and stays, or 2 if it goes."""
+    if not 2 <= min_docs <= 65535:
+        raise ValueError("counts are kept up to 65535, and a line of one document is not repeated")
+    path, shards, size = build_index(docs, shard_lines)
     if size <= local_bytes:
-        return docs.withColumn("__loam_repeated", _flags_local(place, shards, min_docs)(line_keys(F.col("text"))))
-    bad = materialise(_flags_routed(docs, place, shards, min_docs))
-    bad = bad.select(F.col("k1").alias("__loam_k1"), F.col("k2").alias("__loam_k2"), F.col("bad").alias("__loam_bad"))
+        return _with_lines(docs).withColumn("__loam_flags", _flags_local(path, shards, min_docs)(*_LINES)).drop(*_LINES)
+    found = materialise(_found_routed(docs, path, shards))
+    found = found.select(F.col("k1").alias("__loam_k1"), F.col("k2").alias("__loam_k2"), F.col("found").alias("__loam_found"))
     k1, k2 = _text_key()
-    keyed = docs.withColumn("__loam_k1", k1).withColumn("__loam_k2", k2).join(small_side(bad, 200), ["__loam_k1", "__loam_k2"], "left")
-    return keyed.withColumn("__loam_repeated", _among(line_keys(F.col("text")), F.col("__loam_bad"))).drop("__loam_k1", "__loam_k2", "__loam_bad")
+    keyed = docs.withColumn("__loam_k1", k1).withColumn("__loam_k2", k2).join(small_side(found, 400), ["__loam_k1", "__loam_k2"], "left")
+    return _with_lines(keyed).withColumn("__loam_flags", _flags_of_found(min_docs)(*_LINES, "__loam_found")).drop(*_LINES, "__loam_k1", "__loam_k2", "__loam_found")
 
 
-def _judged(docs: DataFrame, min_docs: int, max_removed: float, local_bytes: int, shard_lines: int) -> DataFrame:
+def _judged(docs: DataFrame, min_docs: int, local_bytes: int, shard_lines: int) -> DataFrame:
     """docs with __loam_text, the new text, __loam_n, __loam_hit and __loam_gone: lines not blank, repeated, removed."""
     d = flag_lines(docs, min_docs, local_bytes, shard_lines).withColumn("__loam_lines", F.split("text", "\\n"))
-    sizes = lambda cond: F.aggregate(F.filter("__loam_lines", cond), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    hit = lambda i: F.get("__loam_repeated", i)
+    some = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
     d = d.withColumns({
-        "__loam_n": F.coalesce(F.size(F.filter("__loam_lines", lambda x: F.trim(x) != "")), F.lit(0)).cast("long"),
-        "__loam_hit": F.coalesce(F.size(F.filter("__loam_repeated", lambda x: x)), F.lit(0)).cast("long"),
-        "__loam_cut": sizes(lambda x, i: hit(i)),
-        "__loam_all": sizes(lambda x, i: F.trim(x) != ""),
-    })
-    d = d.withColumns({c: F.greatest(F.col(c), F.lit(0)) for c in ("__loam_n", "__loam_hit")})
-    cut = (F.col("__loam_hit") > 0) & (F.col("__loam_cut") <= F.lit(max_removed) * F.col("__loam_all"))
-    d = d.withColumn("__loam_gone", F.when(cut, F.col("__loam_hit")).otherwise(F.lit(0)).cast("long"))
-    return d.withColumn("__loam_text", F.when(F.col("__loam_gone") > 0, F.array_join(F.filter("__loam_lines", lambda x, i: ~hit(i)), "\n")).otherwise(F.col("text")))
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """doc_id, text (without repeated lines), n_lines, n_repeated, n_removed: one row a document."""
-    d = _judged(docs.select("doc_id", "text"), min_docs, max_removed, local_bytes, shard_lines)
+        "__loam_n": some(F.filter("__loam_lines", lambda x: F.trim(x) != "")),
+        "__loam_hit": some(F.filter("__loam_flags", lambda x: x > 0)),
+        "__loam_gone": some(F.filter("__loam_flags", lambda x: x == 2)),
+    })
+    left = F.array_join(F.filter("__loam_lines", lambda x, i: F.get("__loam_flags", i) != 2), "\n")
+    return d.withColumn("__loam_text", F.when(F.col("__loam_gone") > 0, left).otherwise(F.col("text")))
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
+    """doc_id, text (without the repeated lines that other documents keep), n_lines, n_repeated, n_removed: one row a document."""
+    d = _judged(docs.select("doc_id", "text"), min_docs, local_bytes, shard_lines)
     return d.select("doc_id", F.col("__loam_text").alias("text"), F.col("__loam_n").alias("n_lines"), F.col("__loam_hit").alias("n_repeated"), F.col("__loam_gone").alias("n_removed"))
 
 
-def dedup_lines_in_place(docs: DataFrame, min_docs: int = MIN_DOCS, max_removed: float = MAX_REMOVED, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
-    """docs with its own columns, text without repeated lines, and n_chars, if there is one, of the new text."""
-    d = _judged(docs, min_docs, max_removed, local_bytes, shard_lines)
+def dedup_lines_in_place(docs: DataFrame, min_docs: int = MIN_DOCS, local_bytes: int = LOCAL_BYTES, shard_lines: int = SHARD_LINES) -> DataFrame:
+    """docs with its own columns, text without the repeated lines that other documents keep, and n_chars, if there is
+    one, of the new text; documents of which every line went are left out."""
+    d = _judged(docs, min_docs, local_bytes, shard_lines).where((F.col("__loam_gone") == 0) | (F.col("__loam_gone") < F.col("__loam_n")))
     new = {"text": F.col("__loam_text"), "n_chars": F.length("__loam_text").cast("long")}
     return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
-def keep_one_line_of_each(docs: DataFrame, min_docs: int = MIN_DOCS, long_words: int = LONG_WORDS, long_chars: int = LONG_CHARS) -> DataFrame:
-    """docs with its own columns; a repeated line stays only in the document of least doc_id (null first, then by hash of text).
-
-    Repeated: in min_docs documents or more, or, of long_words words or long_chars characters (for scripts without
-    blanks) or more, in two.  What share of a document they are is no matter, so no text leaves the corpus and none
-    is kept twice, but for rows alike in id and text, which keep the same lines, and lines repeated within a document.
-    Line hashes are shuffled, texts are not: only repeated lines and who loses them come back.
-    """
-    text, (k1, k2) = F.col("text"), _text_key()
-    line = F.explode(F.array_distinct(F.filter(F.transform(F.split(text, "\\n"), lambda x: F.trim(x)), lambda x: x != "")))
-    lines = docs.select(F.col("doc_id").alias("id"), k1, k2, line.alias("x")).select(F.struct("id", "k1", "k2").alias("doc"), F.xxhash64("x").alias("h"), ((F.size(F.split("x", r"\s+")) >= long_words) | (F.length("x") >= long_chars)).alias("long"))
-    counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.max("long").alias("long"), F.min("doc").alias("first"))
-    repeated = materialise(counted.where((F.col("n") >= min_docs) | (F.col("long") & (F.col("n") >= 2))).select("h", "first"))
-    lost = lines.join(small_side(repeated, 64), "h").where(F.col("doc") != F.col("first"))
-    bad = materialise(lost.groupBy("doc").agg(F.collect_set("h").alias("bad")).select(F.col("doc.id").alias("__loam_id"), F.col("doc.k1").alias("__loam_k1"), F.col("doc.k2").alias("__loam_k2"), F.col("bad").alias("__loam_bad")))
-    keyed = docs.withColumns({"__loam_t1": k1, "__loam_t2": k2})
-    same = (F.col("__loam_t1") == F.col("__loam_k1")) & (F.col("__loam_t2") == F.col("__loam_k2")) & F.col("doc_id").eqNullSafe(F.col("__loam_id"))
-    d = keyed.join(small_side(bad, 200), same, "left")
-    kept = F.filter(F.split(text, "\\n"), lambda x: (F.trim(x) == "") | ~F.array_contains("__loam_bad", F.xxhash64(F.trim(x))))
-    d = d.withColumn("__loam_text", F.when(F.col("__loam_bad").isNull(), text).otherwise(F.array_join(kept, "\n")))
-    new = {"text": F.col("__loam_text"), "n_chars": F.length("__loam_text").cast("long")}
-    return d.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-l AS (SELECT r, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
-c AS (SELECT trim(x, ' ') AS k, count(DISTINCT r) AS n FROM l WHERE trim(x, ' ') <> '' GROUP BY k),
-j AS (SELECT r, i, x, trim(x, ' ') <> '' AS filled, coalesce(n >= {MIN_DOCS}, false) AS bad FROM l LEFT JOIN c ON trim(x, ' ') = k),
-s AS (SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (bad) AS n_repeated,
-             coalesce(sum(length(x)) FILTER (bad), 0) <= {MAX_REMOVED} * coalesce(sum(length(x)) FILTER (filled), 0) AS cut,
-             coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT bad), '') AS rest FROM j GROUP BY r)
-SELECT doc_id, CASE WHEN cut AND n_repeated > 0 THEN rest ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
-       coalesce(n_repeated, 0)::BIGINT AS n_repeated, (CASE WHEN cut THEN n_repeated ELSE 0 END)::BIGINT AS n_removed
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+k AS (SELECT *, trim(x, ' ') AS k FROM l),
+z AS (SELECT r, sum(CASE WHEN k <> '' THEN length(x) ELSE 0 END)::BIGINT AS size FROM k GROUP BY r),
+c AS (SELECT k, count(DISTINCT r) AS n, min({{'given': doc_id IS NOT NULL, 'id': coalesce(doc_id, 0), 'size': size}}) AS keeper FROM k JOIN z USING (r) WHERE k <> '' GROUP BY k),
+j AS (SELECT r, i, x, k.k <> '' AS filled, keeper, coalesce(n >= 2 AND (keeper.given, keeper.id) <> (doc_id IS NOT NULL, coalesce(doc_id, 0)), false) AS other,
+             coalesce(n >= {MIN_DOCS} OR (n >= 2 AND (length(k.k) >= {LONG_CHARS} OR len(string_split_regex(k.k, '[ \t]+')) >= {LONG_WORDS})), false) AS bad FROM k LEFT JOIN c ON k.k = c.k),
+f AS (SELECT r, keeper, sum(length(x))::BIGINT AS shared, coalesce(sum(length(x)) FILTER (bad), 0)::BIGINT AS taken FROM j WHERE other GROUP BY r, keeper),
+g AS (SELECT r, keeper, shared, (sum(taken) OVER (PARTITION BY r) - taken)::BIGINT AS third FROM f),
+y AS (SELECT r, keeper, true AS copied FROM g JOIN z USING (r) WHERE {COPY[1]} * shared >= {COPY[0]} * (size - third + greatest(keeper.size - third, shared) - shared)),
+v AS (SELECT r, i, x, filled, bad, bad AND other AND NOT coalesce(copied, false) AS goes FROM j LEFT JOIN y USING (r, keeper)),
+s AS (SELECT r, count(*) FILTER (filled) AS n_lines, count(*) FILTER (bad) AS n_repeated, count(*) FILTER (goes) AS n_removed, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT goes), '') AS rest FROM v GROUP BY r)
+SELECT doc_id, CASE WHEN n_removed > 0 THEN rest ELSE text END AS text, coalesce(n_lines, 0)::BIGINT AS n_lines,
+       coalesce(n_repeated, 0)::BIGINT AS n_repeated, coalesce(n_removed, 0)::BIGINT AS n_removed
 FROM d LEFT JOIN s USING (r)"""
