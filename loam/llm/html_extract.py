@@ -5,25 +5,63 @@ are summed; a line whose sum reaches SURGE opens a region, one whose sum is at m
 the lines of text inside regions are the page's text.  All of it is built-in expressions: pages never
 leave the JVM and nothing is shuffled.
 
+Comments and what is in title, script, style, noscript, template and iframe elements are no text; all other text of a
+page is, whichever optional tags it leaves out.  A tag ends at the first > outside of quoted attribute values.
+Character references are decoded once: numbers, and every HTML5 name (those that need no semicolon also without, where
+no letter or digit follows).
+
 Defined results: null or empty html gives an empty text and 0 lines; a page without a surge gives an empty
-text; rows are treated each alone, so null or repeated ids and ties change nothing; unclosed comments and
-scripts run to the end of the page.
+text; rows are treated each alone, so null or repeated ids and ties change nothing; an empty table gives an empty
+result; other columns, whatever their names, are not read; pages of any length are read whole; unclosed comments,
+scripts, titles and tags run to the end of the page; references to no character give U+FFFD; references to line ends,
+tabs and no-break spaces give spaces; unknown names stay as they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from html.entities import html5
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SURGE, DIVE = 3, 86, 20
 
-_GONE = ["(?is)<!--.*?(-->|\\z)"] + [f"(?is)<{t}\\b[^>]*>.*?(</{t}\\s*>|\\z)" for t in ("head", "script", "style", "noscript", "template")]
+#: The rest of a tag after its name, up to the > outside quotes; of two spellings, the first never goes back on what it took.
+_REST = "(?:[^>=]++|= *+(?:\"[^\"]*+\"|'[^']*+')|=)*+(?:>|\\z)"
+_RAW = ("title", "script", "style", "noscript", "template", "iframe")
+_GONE = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{t}\\b{_REST}.*?(?:</{t}\\b[^>]*(?:>|\\z)|\\z)" for t in _RAW)
 _BLOCK = (
-    "(?i)</?(p|div|br|hr|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|header|footer|nav|aside|main|body|html|"
-    "blockquote|pre|form|fieldset|figure|figcaption|title|select|option|center|address)\\b[^>]*>"
+    "(?i)</?(?:p|div|li|tr|td|th|h[1-6]|br|hr|ul|ol|dl|dt|dd|table|thead|tbody|tfoot|caption|article|section|header|footer|nav|aside|main|body|head|html|"
+    "blockquote|pre|form|fieldset|figure|figcaption|details|summary|dialog|select|option|textarea|button|center|address)\\b" + _REST
 )
-_TAG = "<[a-zA-Z/!?][^>]*>"
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_TAG = "<[a-zA-Z/!?]" + _REST
+_SPACES = str.maketrans("\n\r\t\f\u00a0", " " * 5)
+#: Characters by reference name, with its semicolon if it has one.
+_NAMES = {name: sign.translate(_SPACES) for name, sign in html5.items()}
+_COMMON = ["amp;", "nbsp;", "lt;", "gt;", "quot;", "apos;", "copy;", "middot;"]
+#: What numbers in a range that holds no characters stand for.
+_OLD = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
+_REFERENCE = "^(#[0-9]{1,18}|#[xX][0-9a-fA-F]{1,15}|[A-Za-z][A-Za-z0-9]{1,31});?"
+
+
+def _decoded(s: Column) -> Column:
+    """Character references, each once; what a reference gives is not looked at again."""
+    # maps are searched entry by entry, so the commonest names have one of their own
+    table = lambda names: F.str_to_map(F.lit("\x01".join(f"{k}\x02{_NAMES[k]}" for k in names)), F.lit("\x01"), F.lit("\x02"))
+    common, names = table(_COMMON), table(_NAMES)
+    old = F.create_map(*[F.lit(x) for pair in _OLD.items() for x in pair])
+
+    def one(piece: Column) -> Column:
+        whole = F.regexp_extract(piece, _REFERENCE, 0)
+        name = F.regexp_extract(piece, _REFERENCE, 1)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 15), 16, 10)).otherwise(F.substring(name, 2, 18)).cast("long")
+        right = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        sign = F.when(code.isin(9, 10, 12, 13, 160), " ").when(code.between(128, 159), F.element_at(old, code.cast("int"))).when(right, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        found = F.when(name.startswith("#"), sign).otherwise(F.coalesce(F.try_element_at(common, whole), F.try_element_at(names, whole)))
+        return F.when(F.length(whole) > 0, F.coalesce(F.concat(found, F.substr(piece, F.length(whole) + 1)), F.concat(F.lit("&"), piece))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(s, "&")
+    return F.when(F.contains(s, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))).otherwise(s)
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> DataFrame:
@@ -31,12 +69,8 @@ def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, div
     if window < 1 or dive >= surge:
         raise ValueError("a window has a line at least, and dive must be below surge")
     s = F.coalesce(F.col("html"), F.lit(""))
-    s = F.regexp_replace(s, "[\\r\\n\\t\\f]+", " ")
-    for gone in _GONE:
-        s = F.regexp_replace(s, gone, "")
-    s = F.regexp_replace(F.regexp_replace(s, _BLOCK, "\n"), _TAG, "")
-    for name, sign in _ENTITIES:
-        s = F.replace(s, F.lit(name), F.lit(sign))
+    s = F.regexp_replace(F.translate(s, "\r\n\t\f\u00a0", " " * 5), _GONE, "")
+    s = _decoded(F.regexp_replace(F.regexp_replace(s, _BLOCK, "\n"), _TAG, ""))
     s = F.regexp_replace(F.regexp_replace(s, " +", " "), " ?\\n ?", "\n")
     out = pages.select("page_id", F.transform(F.split(s, "\\n"), lambda x: F.trim(x)).alias("lines"))
     out = out.withColumn("sizes", F.transform("lines", lambda x: F.length(x)))
@@ -60,15 +94,20 @@ def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, div
 
 def _sql() -> str:
     q = lambda s: s.replace("'", "''")
-    s = "regexp_replace(coalesce(html, ''), '[\\r\\n\\t\\f]+', ' ', 'g')"
-    for gone in _GONE:
-        s = f"regexp_replace({s}, '{gone}', '', 'g')"
-    s = f"regexp_replace(regexp_replace({s}, '{_BLOCK}', chr(10), 'g'), '{_TAG}', '', 'g')"
-    for name, sign in _ENTITIES:
-        s = f"replace({s}, '{q(name)}', '{q(sign)}')"
-    s = f"regexp_replace(regexp_replace({s}, ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g')"
+    re2 = lambda p: q(p.replace("++", "+").replace("*+", "*"))
+    s = f"regexp_replace(translate(coalesce(html, ''), chr(13) || chr(10) || chr(9) || chr(12) || chr(160), '     '), '{re2(_GONE)}', '', 'g')"
+    s = f"regexp_replace(regexp_replace({s}, '{re2(_BLOCK)}', chr(10), 'g'), '{re2(_TAG)}', '', 'g')"
+    names = "MAP {" + ", ".join(f"'{k}': '{q(v)}'" for k, v in _NAMES.items()) + "}"
+    old = "[" + ", ".join(f"'{v}'" for v in _OLD.values()) + "]"
+    number = "(CASE WHEN lower(n[2]) = 'x' THEN ('0x' || n[3:])::BIGINT ELSE n[2:]::BIGINT END)"
+    sign = f"CASE WHEN {number} IN (9, 10, 12, 13, 160) THEN ' ' WHEN {number} BETWEEN 128 AND 159 THEN {old}[{number} - 127] WHEN {number} BETWEEN 1 AND 55295 OR {number} BETWEEN 57344 AND 1114111 THEN chr({number}::INT) ELSE chr(65533) END"
+    found = f"CASE WHEN n[1] = '#' THEN {sign} WHEN n <> '' THEN {names}[w] END"
     return f"""
-WITH a AS (SELECT row_number() OVER () AS r, page_id, list_transform(string_split({s}, chr(10)), lambda x: trim(x, ' ')) AS lines FROM pages),
+WITH h AS (SELECT row_number() OVER () AS r, page_id, {s} AS s FROM pages),
+e AS (SELECT r, unnest(string_split(s, '&')) AS piece, unnest(range(len(string_split(s, '&')))) AS i FROM h),
+f AS (SELECT *, regexp_extract(piece, '{_REFERENCE}', 0) AS w, regexp_extract(piece, '{_REFERENCE}', 1) AS n FROM e),
+g AS (SELECT r, string_agg(CASE WHEN i = 0 THEN piece ELSE coalesce(({found}) || piece[len(w) + 1:], '&' || piece) END, '' ORDER BY i) AS s FROM f GROUP BY r),
+a AS (SELECT r, page_id, list_transform(string_split(regexp_replace(regexp_replace(g.s, ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')) AS lines FROM h JOIN g USING (r)),
 b AS (SELECT r, page_id, unnest(lines) AS x, unnest(range(1, len(lines) + 1)) AS i FROM a),
 c AS (SELECT *, length(x) + {' + '.join(f'coalesce(lead(length(x), {k}) OVER w, 0)' for k in range(1, WINDOW))} AS s FROM b WINDOW w AS (PARTITION BY r ORDER BY i)),
 d AS (SELECT *, last_value(CASE WHEN s >= {SURGE} THEN 1 WHEN s <= {DIVE} THEN 0 END IGNORE NULLS)
