@@ -1,16 +1,21 @@
 """Secret scan with a recursive decoding worklist.
 
 A document's text is the first layer.  Of every layer all secrets are found, and every encoding in it is
-unwrapped to a new layer: percent escapes, \\u \\x \\U and numeric character escapes, base64 (either alphabet, on one
-line or over lines of one length), and gzip, zlib, bzip2, xz and zstd streams inside what was unwrapped.  Layers go on a worklist until none is new; a
-layer seen before in the document is not done again, so cycles end.  Each character of a layer carries the
-span of the original text it came from, and a finding is reported by that span.
-
-Defined results: null and empty texts have no findings; a secret found alike in several layers at the same
-span is reported once, by the layer found first; rows are scanned each alone, so null or repeated ids are
-carried as they are; unpacking stops at MAX_UNPACKED bytes a stream and a document, and then a finding of
-rule ``unpacking_stopped`` says so; of a stream that ends too early what is there is scanned, and a finding of rule
-``stream_incomplete`` says so (of zlib, whose head is two letters, where it begins a layer).
+unwrapped to a new layer: percent escapes, \\u \\x \\U and character references (numbers and HTML5 names), base64 (either
+alphabet, on one line or over lines of one length), and gzip, zlib, bzip2, xz and zstd streams inside what was unwrapped.
+Bytes are read as UTF-8, as UTF-16 where every second one is zero or a mark says so, else as Latin-1.  Layers go on a
+worklist until none is new; a layer seen before in the document is not done again, so cycles end.  Each character of a
+layer carries the span of the original text it came from, and a finding is reported by that span.
+
+Streams of any size are unpacked whole, in windows of WINDOW bytes that share OVERLAP bytes, and one window at a time
+is in memory at each depth.  A secret longer than OVERLAP may be found in two parts.
+
+Defined results: null and empty texts have no findings; texts of any length are scanned whole; a secret found alike in
+several layers at the same span is reported once, by the layer found first; rows are scanned each alone, so null or
+repeated ids are carried as they are and repeated rows repeat; an empty table gives an empty result; columns but doc_id
+and text, whatever their names, are not read; of a stream that ends or breaks too early what is there is scanned, and a
+finding of rule ``stream_incomplete`` says so (of zlib, whose head is two letters, where it begins a layer): so does a
+stream inside a stream that goes beyond a window.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from collections.abc import Iterator
+from html.entities import html5
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +38,7 @@ from pyspark.sql import types as T
 
 from loam.runtime import text_batches
 
-MAX_UNPACKED = 64 << 20
+WINDOW, OVERLAP = 16 << 20, 1 << 16
 
 #: rule, literals of which one must be there, pattern; the group that matched is the secret; where a pattern has groups
 #: and none matched, the match only steps over a run, so that no run is read twice. Secrets have no longest length.
@@ -47,8 +54,9 @@ RULES: list[tuple[str, tuple[str, ...], re.Pattern]] = [
     ("url_password", ("://",), re.compile(r"[A-Za-z0-9+.-]://[^\s:/@]*:([^\s:/@]{3,})@")),
 ]
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})+|&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 _ONE_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+#: The shortest thing that a rule finds has 12 characters, 16 in base64.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}")
 #: Base64 over lines; _wrapped takes from it what has lines of one length.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
@@ -103,18 +111,34 @@ class Layer:
         return Layer(new, np.array([start[x:y].min() for x, y in sources], int), np.array([end[x:y].max() for x, y in sources], int), (*self.path, kind))
 
 
-def _characters(raw: bytes, where: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """Bytes as UTF-8, or as Latin-1 where they are not; and each character's source, from each byte's."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return raw.decode("latin-1"), where
-    out, at = [], 0
-    for c in text:
-        n = len(c.encode())
-        out.append((where[at][0], where[at + n - 1][1]))
-        at += n
-    return text, out
+def _wide(raw: bytes) -> str | None:
+    """The name of the UTF-16 that bytes seem to be."""
+    if len(raw) < 8 or len(raw) % 2:
+        return None
+    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16-le" if raw[0] == 0xFF else "utf-16-be"
+    for name, zeros in (("utf-16-le", raw[1::2]), ("utf-16-be", raw[::2])):
+        if 10 * zeros.count(0) >= 6 * len(zeros) and 10 * (raw.count(0) - zeros.count(0)) < len(zeros):
+            return name
+    return None
+
+
+def _characters(raw: bytes, where: list[tuple[int, int]] | None) -> tuple[str, list[tuple[int, int]] | None]:
+    """Bytes as text; and each character's source, from each byte's."""
+    for name in filter(None, (_wide(raw), "utf-8")):
+        try:
+            text = raw.decode(name)
+        except UnicodeDecodeError:
+            continue
+        if where is None:
+            return text, None
+        out, at = [], 0
+        for c in text:
+            n = len(c.encode(name))
+            out.append((where[at][0], where[at + n - 1][1]))
+            at += n
+        return text, out
+    return raw.decode("latin-1"), where
 
 
 def _percent(layer: Layer) -> Layer | None:
@@ -131,6 +155,10 @@ def _escaped(layer: Layer) -> Layer | None:
     for m in _ESCAPE.finditer(layer.text):
         if m.group()[0] == "&":
             body = m.group()[2:-1]
+            if m.group()[1] != "#":
+                if (new := html5.get(m.group()[1:])) is not None:
+                    parts.append((m.start(), m.end(), new, [m.span()] * len(new)))
+                continue
             code = int(body[1:], 16) if body[0] in "xX" else int(body)
             if code < 0x110000 and not 0xD800 <= code < 0xE000:
                 parts.append((m.start(), m.end(), chr(code), [m.span()]))
@@ -148,10 +176,6 @@ def _escaped(layer: Layer) -> Layer | None:
     return layer.replaced(parts, "unicode") if parts else None
 
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.95 * len(text)
-
-
 def _wrapped(m: re.Match) -> list[list[tuple[int, int]]]:
     """The spans of lines of blocks in m, all but the first and last of a block of one length; each with and without its last line."""
     lines = [x.span(1) for x in _LINE.finditer(m.string, *m.span()) if x.group(1)]
@@ -180,12 +204,6 @@ def _decoded(layer: Layer, lines: list[tuple[int, int]]) -> Layer | None:
     except ValueError:
         return None
     packed = _PACKED.match(raw[:12].decode("latin-1"))
-    if not packed:
-        try:
-            if not _readable(raw.decode()):
-                return None
-        except UnicodeDecodeError:
-            return None
     at = np.concatenate([np.arange(a, b) for a, b in lines]).tolist()
     where = [(at[i // 3 * 4 + i % 3], at[min(i // 3 * 4 + i % 3 + 1, len(at) - 1)] + 1) for i in range(len(raw))]
     new, sources = (raw.decode("latin-1"), where) if packed else _characters(raw, where)
@@ -210,55 +228,104 @@ def _base64(layer: Layer) -> list[Layer]:
     return out
 
 
-def _unpack(raw: memoryview, limit: int) -> tuple[str, bytes, int, str] | None:
-    """Kind, content, bytes of raw used, and what kept it from its end, a rule's name, if anything did."""
-    why = lambda stopped, whole: "unpacking_stopped" if stopped else "" if whole else "stream_incomplete"
-    try:
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"x":
-            kind = "gzip" if raw[:1] == b"\x1f" else "zlib"
-            d = zlib.decompressobj(31 if kind == "gzip" else 15)
-            got = d.decompress(raw, limit)
-            return kind, got, len(raw) - len(d.unused_data) - len(d.unconsumed_tail), why(bool(d.unconsumed_tail), d.eof)
-        if raw[:3] == b"BZh" or raw[:6] == b"\xfd7zXZ\x00":
-            kind = "bzip2" if raw[:1] == b"B" else "xz"
-            d = bz2.BZ2Decompressor() if kind == "bzip2" else lzma.LZMADecompressor()
-            got = d.decompress(raw, limit)
-            return kind, got, len(raw) - len(d.unused_data), why(not d.eof and not d.needs_input, d.eof)
-        d = zstandard.ZstdDecompressor().decompressobj()
-        got = zstandard.ZstdDecompressor().stream_reader(raw).read(limit + 1)
-        d.decompress(raw) if len(got) <= limit else None
-        return "zstd", got[:limit], len(raw) - len(d.unused_data), why(len(got) > limit, d.eof)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
-        return None
+class Stream:
+    """A packed stream at the head of some bytes; once it was read: the bytes used, those given, and whether it came to its end."""
+
+    def __init__(self, raw: memoryview):
+        self.raw, self.used, self.given, self.whole = raw, 0, 0, False
+        heads = ((b"\x1f\x8b", "gzip"), (b"x", "zlib"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"), (b"\x28\xb5\x2f\xfd", "zstd"))
+        self.kind = next(name for head, name in heads if raw[: len(head)] == head)
+
+    def pieces(self) -> Iterator[bytes]:
+        """The content, in pieces of bounded size; what breaks ends it."""
+        self.used = self.given = 0
+        try:
+            for piece in self._zstd() if self.kind == "zstd" else self._zlib() if self.kind in ("gzip", "zlib") else self._blocks():
+                if piece:
+                    self.given += len(piece)
+                    yield piece
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):
+            self.used = self.used or len(self.raw)
+
+    def _zlib(self) -> Iterator[bytes]:
+        d, rest = zlib.decompressobj(31 if self.kind == "gzip" else 15), self.raw
+        while rest and not d.eof:
+            yield d.decompress(rest, WINDOW)
+            rest = d.unconsumed_tail
+        self.used, self.whole = len(self.raw) - len(d.unused_data), d.eof
+
+    def _blocks(self) -> Iterator[bytes]:
+        d = bz2.BZ2Decompressor() if self.kind == "bzip2" else lzma.LZMADecompressor()
+        yield d.decompress(self.raw, WINDOW)
+        while not d.eof and not d.needs_input:
+            yield d.decompress(b"", WINDOW)
+        self.used, self.whole = len(self.raw) - len(d.unused_data), d.eof
+
+    def _zstd(self) -> Iterator[bytes]:
+        d, at, some = zstandard.ZstdDecompressor().decompressobj(), 0, 512
+        while at < len(self.raw) and not d.eof:
+            yield d.decompress(self.raw[at : at + some])
+            at += some
+        self.used, self.whole = min(at, len(self.raw)) - len(d.unused_data), d.eof
+
+    def windows(self) -> Iterator[str]:
+        """The content as text, in windows that overlap."""
+        have = bytearray()
+        for piece in self.pieces():
+            have += piece
+            while len(have) > WINDOW + OVERLAP:
+                yield self._window(bytes(have[:WINDOW]))
+                del have[: WINDOW - OVERLAP]
+        if have:
+            yield self._window(bytes(have))
+
+    @staticmethod
+    def _window(raw: bytes) -> str:
+        # a character cut in two at an edge is not the window's
+        a = next((i for i in range(min(4, len(raw))) if raw[i] & 0xC0 != 0x80), 0)
+        try:
+            return raw[a:].decode() if not _wide(raw) else _characters(raw, None)[0]
+        except UnicodeDecodeError as e:
+            cut = e.reason == "unexpected end of data" and e.end == len(raw) - a
+            return _characters(raw[a : a + e.start] if cut else raw, None)[0]
 
 
-def _packed(layer: Layer, limit: int) -> tuple[list[Layer], set[str]]:
-    out, stopped = [], set()
+def _packed(layer: Layer) -> tuple[list[Iterator[Layer]], bool]:
+    """Layers of the streams in a layer, unpacked as they are asked for; and whether a stream did not come to its end."""
+    out, broken = [], False
     for part in _LATIN.finditer(layer.text):
         text, base, at = part.group(), part.start(), 0
         data = memoryview(text.encode("latin-1"))
         while m := _PACKED.search(text, at):
             at = m.end()
-            got = _unpack(data[m.start() :], limit)
-            if got and got[1]:
-                kind, raw, used, cut = got
+            stream = Stream(data[m.start() :])
+            for _ in stream.pieces():
+                pass
+            if stream.given:
+                a, b = base + m.start(), base + m.start() + stream.used
                 # two letters of a text can look like the head of a zlib stream
-                if cut == "unpacking_stopped" or cut and (kind != "zlib" or base + m.start() == 0):
-                    stopped.add(cut)
-                new, _ = _characters(raw, [(0, 0)] * len(raw))
-                out.append(layer.cut(base + m.start(), base + m.start() + used, new, None, kind))
-                limit = max(1, limit - len(raw))
-                at = max(at, m.start() + used)
-    return out, stopped
+                broken |= not stream.whole and (stream.kind != "zlib" or a == 0)
+                out.append(_windows(layer, stream, a, b))
+                at = max(at, m.start() + stream.used) if stream.whole else at
+    return out, broken
+
 
+def _windows(layer: Layer, stream: Stream, a: int, b: int) -> Iterator[Layer]:
+    for text in stream.windows():
+        yield layer.cut(a, b, text, None, stream.kind)
 
-def scan_text(text: str | None, max_unpacked: int = MAX_UNPACKED) -> list[dict]:
+
+def scan_text(text: str | None) -> list[dict]:
     """All findings in a text, in order of place."""
     if not text:
         return []
-    work, seen, found, left = [Layer(text, None, None, ())], set(), {}, max_unpacked
+    work: list[Iterator[Layer]] = [iter([Layer(text, None, None, ())])]
+    seen, found = set(), {}
     while work:
-        layer = work.pop(0)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         mark = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if mark in seen:
             continue
@@ -273,17 +340,14 @@ def scan_text(text: str | None, max_unpacked: int = MAX_UNPACKED) -> list[dict]:
                     a, b = layer.span(*m.span(g))
                     key = (rule, a, b, hashlib.sha256(m.group(g).encode("utf-8", "surrogatepass")).hexdigest())
                     found.setdefault(key, path)
-        if "%" in s and (new := _percent(layer)):
-            work.append(new)
-        if ("\\" in s or "&#" in s) and (new := _escaped(layer)):
-            work.append(new)
-        work += _base64(layer)
+        new = [x for x in ("%" in s and _percent(layer), ("\\" in s or "&" in s) and _escaped(layer)) if x]
+        more: list[Iterator[Layer]] = [iter([*new, *_base64(layer)])]
         if layer.path and _PACKED.search(s):
-            new, stopped = _packed(layer, left)
-            left = max(1, left - sum(len(x.text) for x in new))
-            for rule in stopped:
-                found.setdefault((rule, *layer.span(0, len(s)), ""), path)
-            work += new
+            streams, broken = _packed(layer)
+            if broken:
+                found.setdefault(("stream_incomplete", *layer.span(0, len(s)), ""), path)
+            more += streams
+        work += reversed(more)
     return [{"rule": r, "start": a, "end": b, "layers": p, "digest": d} for (r, a, b, d), p in sorted(found.items())]
 
 

@@ -9,8 +9,11 @@ import urllib.parse
 import zlib
 
 import zstandard
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from odd_texts import ODD
 
+from loam.llm import secret_scan
 from loam.llm.secret_scan import scan_secrets, scan_text
 
 KEY = "AKIA" + "Q7XZ" * 4
@@ -97,9 +100,45 @@ def test_depth_has_no_limit_and_cycles_end():
     assert scan_text("%25" * 50 + "%2541") == []
 
 
-def test_unpacking_stops_with_a_finding():
-    bomb = b64(gzip.compress(b"0" * 2_000_000))
-    assert [f["rule"] for f in scan_text(bomb, 100_000)] == ["unpacking_stopped"]
+def test_streams_of_any_size_are_scanned_in_windows(monkeypatch):
+    monkeypatch.setattr(secret_scan, "WINDOW", 40_000)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 200)
+    for at in (39_790, 39_990, 79_800, 300_000):
+        raw = ("é0 " * 200_000)[:at].encode() + f" {KEY} ".encode() + b"0 " * 900_000
+        for name, pack in PACKERS.items():
+            found = scan_text("x " + b64(pack(raw)))
+            assert [(f["rule"], f["layers"]) for f in found] == [("cloud_key_id", f"base64>{name}")], (at, name)
+
+
+def test_bytes_of_other_kinds():
+    for name in ("utf-16-le", "utf-16-be", "utf-16"):
+        (f,) = scan_text("see " + b64(f"pass: é {KEY} ok".encode(name)))
+        assert f["layers"] == "base64" and f["rule"] == "cloud_key_id"
+    assert [f["rule"] for f in scan_text(b64(b"\x00\xfe\x17\x80" * 9 + KEY.encode() + b"\xff\x00\x01"))] == ["cloud_key_id"]
+    assert [f["rule"] for f in scan_text("password=&quot;abcd1234efgh&quot;") if f["layers"] == "unicode"] == ["assigned_secret"]
+
+
+@settings(deadline=None, max_examples=150)
+@given(st.lists(st.sampled_from(["url", "escapes", "entities", "b64", "b64url", "wrapped", "utf16", *PACKERS]), max_size=5), st.text("abc é漢\n", max_size=40), st.integers(0, 2**32))
+def test_any_nesting_is_unwrapped(kinds, around, seed):
+    """Brute force: a secret is put under any encodings; it must be found, by its digest, within the span of what hides it."""
+    r = random.Random(seed)
+    key = "AKIA" + "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    hidden = f"{around} {key} {around}"
+    for kind in kinds:
+        if kind in PACKERS:
+            hidden = b64(PACKERS[kind](hidden.encode()))
+        elif kind == "wrapped":
+            whole = b64(hidden)
+            hidden = "\n".join(whole[i : i + 76] for i in range(0, len(whole), 76))
+        else:
+            hidden = {"url": url, "escapes": escapes, "entities": entities, "b64": b64, "b64url": b64url, "utf16": lambda s: b64(s.encode("utf-16-le"))}[kind](hidden)
+        if len(hidden) > 30_000:
+            break
+    text = f"seen ( {hidden} ) here"
+    digest = hashlib.sha256(key.encode()).hexdigest()
+    found = [f for f in scan_text(text) if f["digest"] == digest]
+    assert found and all(7 <= f["start"] < f["end"] <= 7 + len(hidden) for f in found)
 
 
 def test_rules_and_clean_text():
