@@ -7,29 +7,31 @@ Two signatures agree in a register with the probability Jaccard similarity of th
 
 Texts that are equal count as one from the start.  Documents that agree in all ROWS registers of one of
 BANDS bands share a bucket.  In each bucket all are first verified against one of them, by the exact
-similarity; then, in buckets that still hold documents of several components, all pairs across components
-are verified.  So every pair of candidates is either verified or already joined, without caps, while
-large groups of copies cost as many pairs as they have members.  Of each component of verified pairs the
-document with the least doc_id stays.
+similarity; then, in buckets that still hold documents of several components, a growing number of further
+ones, PIVOTS times as many each round, are verified against those of other components, until none is left.
+So every pair of candidates is either verified or already joined, without caps, while large groups of
+copies cost as many pairs as they have members; no bucket is ever gathered in one row or task.  Of each
+component of verified pairs the document with the least doc_id stays.
 
 Defined results: a null text, or one without words, is near to none and stays; a text of fewer than
-SHINGLE words has one shingle, of all its words; null ids come after all others when the one that stays
-is chosen; of equal rows of the one that stays one row stays; empty tables give empty results; columns
-whose names begin with __loam_ are reserved.  Texts are told apart by 64-bit hashes.
+SHINGLE words has one shingle, of all its words; texts of any length are sketched and verified whole; null
+ids come after all others when the one that stays is chosen; of equal rows of the one that stays one row
+stays; empty tables give empty results; columns whose names begin with __loam_ are reserved, others may
+have any name.  Texts are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.llm.words import mix, shingles, text_slices, word_hashes
 from loam.operators.components import connected_components
-from loam.runtime import materialise, small_side, text_batches
+from loam.runtime import materialise, release, small_side, text_batches
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 3, 36, 4, 0.5
+SHINGLE, BANDS, ROWS, THRESHOLD, PIVOTS = 3, 36, 4, 0.5, 32
 _U = np.uint64
 _STEP = _U(0xD1342543DE82EF95)
 
@@ -163,24 +165,37 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE,
     # filtered only once written: a filter below the write would have every text sketched twice
     sketch = materialise(_sketch(docs, n, bands, rows)).where(F.size("keys") > 0)
     texts = docs.select(F.xxhash64("text").alias("t"), "text")
-    one = sketch.groupBy("t").agg(F.first("keys").alias("keys"))
-    buckets = one.select("t", F.explode("keys").alias("key")).groupBy("key").agg(F.collect_list("t").alias("ts")).where(F.size("ts") > 1)
-    buckets = materialise(buckets)
-    stars = buckets.select(F.array_min("ts").alias("a"), F.explode("ts").alias("b")).where("a <> b").distinct()
-    edges = _verified(materialise(stars), texts, threshold, n)
+    one = materialise(sketch.groupBy("t").agg(F.first("keys").alias("keys")))
+    each = one.select("t", F.explode("keys").alias("key"))
+    shared = materialise(each.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("z")).where("a <> z").select("key", "a"))
+    members = materialise(each.join(small_side(shared, 24), "key"))
+    stars = materialise(members.where("a <> t").select("a", F.col("t").alias("b")).distinct())
+    edges = _verified(stars, texts, threshold, n)
     roots = materialise(connected_components(edges))
-    members = buckets.select("key", F.explode("ts").alias("t"))
-    rooted = members.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.collect_list(F.struct("root", "t")).alias("all"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    each = mixed.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y["root"] > F.col("x.root"))).alias("y"))
-    across = each.select(F.least("x.t", "y.t").alias("a"), F.greatest("x.t", "y.t").alias("b")).distinct()
-    across = materialise(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    if across.take(1):
-        edges = materialise(edges.union(_verified(across, texts, threshold, n)))
-        roots = materialise(connected_components(edges))
+    left, pivots = _mixed(members.select("key", "t"), roots), PIVOTS
+    while left.take(1):
+        turn = F.row_number().over(Window.partitionBy("key").orderBy("t"))
+        first = materialise(left.withColumn("turn", turn).where(F.col("turn") <= pivots).select("key", F.col("t").alias("p"), F.col("root").alias("other")))
+        across = left.join(first, "key").where("root <> other AND t > p").select(F.col("p").alias("a"), F.col("t").alias("b")).distinct()
+        found = _verified(materialise(across.join(stars, ["a", "b"], "left_anti")), texts, threshold, n)
+        if found.take(1):
+            edges = materialise(edges.union(found))
+            roots = materialise(connected_components(edges))
+        done = first.groupBy("key").agg(F.max("p").alias("last"))
+        left = _mixed(left.join(done, "key").where("t > last").select("key", "t"), roots)
+        pivots *= PIVOTS
     return sketch.select("doc_id", "t"), roots
 
 
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, t, root) of the members of buckets that hold several components, materialised."""
+    rooted = materialise(members.join(roots.select(F.col("node").alias("t"), "root"), "t", "left").select("key", "t", F.coalesce("root", "t").alias("root")))
+    keys = materialise(rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key"))
+    out = materialise(rooted.join(small_side(keys, 16), "key", "left_semi"))
+    release(rooted)
+    return out
+
+
 def _members(docs: DataFrame, threshold: float, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, t, root, and kept: the doc_id and t of the row that stays, n_kept: how many rows are equal to it."""
     ids, roots = near_groups(docs, threshold, n, bands, rows)
@@ -215,11 +230,12 @@ def keep_one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHI
     # what goes, and what stays of several equal rows
     marked = materialise(counts.where("NOT stays OR n > 1").select(F.col("doc_id").alias("__loam_id"), F.col("t").alias("__loam_t"), F.col("stays").alias("__loam_stays")))
     keyed = docs.withColumn("__loam_key", F.xxhash64("text"))
+    own_columns = [F.col(f"`{c}`") for c in docs.columns]
     match = F.col("doc_id").eqNullSafe(F.col("__loam_id")) & (F.col("__loam_key") == F.col("__loam_t"))
-    rest = keyed.join(small_side(marked, 40), match, "left_anti").select(*docs.columns)
+    rest = keyed.join(small_side(marked, 40), match, "left_anti").select(*own_columns)
     twice = marked.where("__loam_stays")
     if not twice.take(1):
         return rest
     own = keyed.join(small_side(twice, 40), match, "inner")
     first = [F.first(F.col(f"`{c}`")).alias(c) for c in docs.columns]
-    return rest.unionByName(own.groupBy("__loam_id", "__loam_t").agg(*first).select(*docs.columns))
+    return rest.unionByName(own.groupBy("__loam_id", "__loam_t").agg(*first).select(*own_columns))

@@ -9,15 +9,16 @@ a blocked seed or its distrust is at least MIN_DISTRUST and above its trust.
 Defined results: pages whose url is null or has no host get a null host, zero scores and are kept; links
 within a host are no edges; several links from one host to another weigh once a linking page and target
 page; seeds that are no host of the graph take no mass; a repeated page row repeats in the result and its
-links count again; with no seeds all scores are 0.
+links count again; with no seeds all scores are 0; an empty table gives an empty result; null html has no links;
+pages of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loam.runtime import materialise, small_side
+from loam.runtime import materialise, release, small_side
 
 ROUNDS, DAMPING, MIN_DISTRUST = 20, 0.85, 0.01
 #: Production seeds: patterns of SQL LIKE over hosts.
@@ -49,21 +50,21 @@ def _any_like(col: str, patterns: list[str]) -> Column:
 def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: Column, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """host, score over materialised hosts(host) and edges(src, dst, w); mass flows from src to dst.
 
-    Each round reads the ranks once and shuffles them by host; every fifth cuts the lineage.
+    Each round's ranks are written, so a lost executor costs one round; while they are few enough to be broadcast the
+    edges stay where they are, and only flows summed by target are shuffled.
     """
     base = hosts.where(seed).select("host", F.lit(1.0).alias("s"))
-    total = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    step = edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p"))
     if not edges.take(1):
         # nothing spreads: each round gives seeds their share of (1 - damping)
         return hosts.join(base, "host", "left").select("host", F.coalesce(F.col("s") * (1 - damping if rounds else 1.0), F.lit(0.0)).alias("score"))
-    step = materialise(step)
-    rank = base.withColumnRenamed("s", "r")
-    for i in range(rounds):
-        flow = step.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"))
-        rank = flow.unionByName(base.select("host", (F.col("s") * (1 - damping)).alias("r"))).groupBy("host").agg(F.sum("r").alias("r"))
-        if i % 5 == 4:
-            rank = materialise(rank)
+    total = materialise(edges.groupBy("src").agg(F.sum("w").alias("total")))
+    step = materialise(edges.join(small_side(total, 60), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    rank = materialise(base.withColumnRenamed("s", "r"))
+    for _ in range(rounds):
+        flow = step.join(small_side(rank.withColumnRenamed("host", "src"), 60), "src").select(F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"))
+        last, rank = rank, materialise(flow.unionByName(base.select("host", (F.col("s") * (1 - damping)).alias("r"))).groupBy("host").agg(F.sum("r").alias("r")))
+        release(last)
+    release(step)
     return hosts.join(rank, "host", "left").select("host", F.coalesce("r", F.lit(0.0)).alias("score"))
 
 
@@ -89,12 +90,27 @@ def filter_urls(pages: DataFrame, trusted: list[str] = TRUSTED, blocked: list[st
     return joined.select("page_id", "url", "host", *[F.round(F.coalesce(c, F.lit(0.0)), 9).alias(c) for c in ("trust", "distrust")], F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
-def _sql() -> str:
+#: A table of pages that link to other hosts: each line of an order is a page of its supplier's host that links to the next line's.
+_LINKED_SQL = """lines AS (SELECT l_orderkey * 10 + l_linenumber AS page_id, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS b FROM lineitem),
+pages AS (SELECT page_id, 'https://s' || a || '.example.' || (['com', 'net', 'org'])[a % 3 + 1] || '/' || page_id AS url, '<p><a href="https://s' || b || '.example.' || (['com', 'net', 'org'])[b % 3 + 1] || '/">next</a>' AS html FROM lines),
+"""
+LINKED_TRUSTED, LINKED_BLOCKED = ["s%1.example.%"], ["s%7.example.net"]
+
+
+def linked_pages(lineitem: DataFrame) -> DataFrame:
+    """page_id, url, html: pages with links between hosts, which the pages at hand don't have."""
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey"))
+    lines = lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"), F.col("l_suppkey").alias("a"), after.alias("b"))
+    name = lambda c: F.concat(F.lit("https://s"), F.col(c).cast("string"), F.lit(".example."), F.element_at(F.array(*map(F.lit, ("com", "net", "org"))), (F.col(c) % 3 + 1).cast("int")), F.lit("/"))
+    return lines.select("page_id", F.concat(name("a"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit('<p><a href="'), name("b"), F.lit('">next</a>')).alias("html"))
+
+
+def _sql(pages: str = "", trusted: list[str] = TRUSTED, blocked: list[str] = BLOCKED) -> str:
     host = lambda u: f"nullif(lower(regexp_extract(coalesce({u}, ''), '{_HOST}', 1)), '')"
     like = lambda ps: "(" + " OR ".join(f"host LIKE '{p}'" for p in ps) + ")"
     rounds = []
     for kind, edges in (("t", "step"), ("d", "pets")):
-        seed = f"{like(TRUSTED)} AND NOT {like(BLOCKED)}" if kind == "t" else like(BLOCKED)
+        seed = f"{like(trusted)} AND NOT {like(blocked)}" if kind == "t" else like(blocked)
         rounds.append(f"{kind}s AS (SELECT host, 1.0::DOUBLE AS s FROM hosts WHERE {seed})")
         rounds.append(f"{kind}0 AS (SELECT host, s AS r FROM {kind}s)")
         for i in range(ROUNDS):
@@ -103,7 +119,7 @@ def _sql() -> str:
                 f"UNION ALL SELECT host, {1 - DAMPING} * s FROM {kind}s) GROUP BY host)"
             )
     return f"""
-WITH links AS (SELECT {host('url')} AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1))) AS link FROM pages),
+WITH {pages}links AS (SELECT {host('url')} AS src, unnest(list_distinct(regexp_extract_all(coalesce(html, ''), '(?i)<a\\s[^>]*?href\\s*=\\s*["'']?((?:https?:)?//[^"''\\s>]+)', 1))) AS link FROM pages),
 edges AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM (SELECT src, {host('link')} AS dst FROM links) WHERE src <> dst GROUP BY src, dst),
 hosts AS MATERIALIZED (SELECT {host('url')} AS host FROM pages WHERE {host('url')} IS NOT NULL UNION SELECT src FROM edges UNION SELECT dst FROM edges),
 step AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM edges),
@@ -111,8 +127,9 @@ pets AS MATERIALIZED (SELECT dst AS src, src AS dst, w / sum(w) OVER (PARTITION
 {', '.join(rounds)},
 scores AS (SELECT host, coalesce(a.r, 0) AS trust, coalesce(b.r, 0) AS distrust FROM hosts LEFT JOIN t{ROUNDS} a USING (host) LEFT JOIN d{ROUNDS} b USING (host))
 SELECT page_id, url, p.host, round(coalesce(trust, 0), 9) AS trust, round(coalesce(distrust, 0), 9) AS distrust,
-       coalesce(NOT ({like(BLOCKED).replace('host', 'p.host')} OR (distrust >= {MIN_DISTRUST} AND distrust > trust)), true) AS keep
+       coalesce(NOT ({like(blocked).replace('host', 'p.host')} OR (distrust >= {MIN_DISTRUST} AND distrust > trust)), true) AS keep
 FROM (SELECT page_id, url, {host('url')} AS host FROM pages) p LEFT JOIN scores s ON s.host = p.host"""
 
 
 FILTER_SQL = _sql()
+LINKED_SQL = _sql(_LINKED_SQL, LINKED_TRUSTED, LINKED_BLOCKED)
