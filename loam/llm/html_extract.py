@@ -44,35 +44,41 @@ _OLD = {n: bytes([n]).decode("cp1252", "replace") for n in range(128, 160)}
 _REFERENCE = "^(#[0-9]{1,18}|#[xX][0-9a-fA-F]{1,15}|[A-Za-z][A-Za-z0-9]{1,31});?"
 
 
-def _decoded(s: Column) -> Column:
-    """Character references, each once; what a reference gives is not looked at again."""
+def _decoded(pieces: Column) -> Column:
+    """Of a text split at & what its character references, each once, make of it; what a reference gives is not looked at again."""
     # maps are searched entry by entry, so the commonest names have one of their own
     table = lambda names: F.str_to_map(F.lit("\x01".join(f"{k}\x02{_NAMES[k]}" for k in names)), F.lit("\x01"), F.lit("\x02"))
     common, names = table(_COMMON), table(_NAMES)
     old = F.create_map(*[F.lit(x) for pair in _OLD.items() for x in pair])
 
-    def one(piece: Column) -> Column:
-        whole = F.regexp_extract(piece, _REFERENCE, 0)
-        name = F.regexp_extract(piece, _REFERENCE, 1)
-        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 15), 16, 10)).otherwise(F.substring(name, 2, 18)).cast("long")
+    def sign(code: Column) -> Column:
         right = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        sign = F.when(code.isin(9, 10, 12, 13, 160), " ").when(code.between(128, 159), F.element_at(old, code.cast("int"))).when(right, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
-        found = F.when(name.startswith("#"), sign).otherwise(F.coalesce(F.try_element_at(common, whole), F.try_element_at(names, whole)))
-        return F.when(F.length(whole) > 0, F.coalesce(F.concat(found, F.substr(piece, F.length(whole) + 1)), F.concat(F.lit("&"), piece))).otherwise(F.concat(F.lit("&"), piece))
+        text = F.when(code.isin(9, 10, 12, 13, 160), " ").when(code.between(128, 159), F.element_at(old, code.cast("int")))
+        return text.when(right, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
-    pieces = F.split(s, "&")
-    return F.when(F.contains(s, F.lit("&")), F.concat(F.element_at(pieces, 1), F.array_join(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one), ""))).otherwise(s)
+    def head(piece: Column) -> Column:
+        return F.named_struct(F.lit("p"), piece, F.lit("w"), F.regexp_extract(piece, _REFERENCE, 0))
+
+    def one(x: Column) -> Column:
+        piece, w = x["p"], x["w"]
+        digits = F.rtrim(w, F.lit(";"))
+        number = F.when(F.lower(F.substring(w, 2, 1)) == "x", F.conv(F.substring(digits, 3, 15), 16, 10)).otherwise(F.substring(digits, 2, 18)).cast("long")
+        found = F.when(w == "", None).when(w.startswith("#"), F.element_at(F.transform(F.array(number), sign), 1)).otherwise(F.coalesce(F.try_element_at(common, w), F.try_element_at(names, w)))
+        return F.coalesce(F.concat(found, F.substr(piece, F.length(w) + 1)), F.concat(F.lit("&"), piece))
+
+    rest = F.transform(F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), head), one)
+    return F.when(F.size(pieces) > 1, F.concat(F.element_at(pieces, 1), F.array_join(rest, ""))).otherwise(F.element_at(pieces, 1))
 
 
 def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, dive: int = DIVE) -> DataFrame:
     """page_id, text, n_lines (lines of text in the page), n_kept (those inside regions)."""
     if window < 1 or dive >= surge:
         raise ValueError("a window has a line at least, and dive must be below surge")
-    s = F.coalesce(F.col("html"), F.lit(""))
-    s = F.regexp_replace(F.translate(s, "\r\n\t\f\u00a0", " " * 5), _GONE, "")
-    s = _decoded(F.regexp_replace(F.regexp_replace(s, _BLOCK, "\n"), _TAG, ""))
-    s = F.regexp_replace(F.regexp_replace(s, " +", " "), " ?\\n ?", "\n")
-    out = pages.select("page_id", F.transform(F.split(s, "\\n"), lambda x: F.trim(x)).alias("lines"))
+    s = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), "[\r\n\t\f\u00a0]+", " ")
+    s = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _GONE, ""), _BLOCK, "\n"), _TAG, "")
+    out = pages.select("page_id", F.split(s, "&").alias("pieces"))
+    s = F.regexp_replace(F.regexp_replace(_decoded(F.col("pieces")), " +", " "), " ?\n ?", "\n")
+    out = out.select("page_id", F.transform(F.split(s, "\\n"), lambda x: F.trim(x)).alias("lines"))
     out = out.withColumn("sizes", F.transform("lines", lambda x: F.length(x)))
     sums = F.transform("sizes", lambda _, i: sum((F.coalesce(F.get("sizes", i + k), F.lit(0)) for k in range(1, window)), F.get("sizes", i)))
     out = out.withColumn("states", F.array_join(F.transform(sums, lambda b: F.when(b >= surge, "S").when(b <= dive, "D").otherwise("-")), ""))
@@ -82,7 +88,9 @@ def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, div
         F.repeat(F.lit("K"), F.when(F.instr(p, "S") == 0, F.lit(0)).otherwise(F.length(p) - F.instr(p, "S") + 1)),
     ))
     out = out.withColumn("inside", F.split(F.array_join(opened, "D"), ""))
-    kept = F.filter("lines", lambda x, i: (x != "") & (F.get("inside", i) == "K"))
+    # zipped: as an index into it, all of inside would be made again for every line
+    zipped = F.arrays_zip("lines", "inside")
+    kept = F.transform(F.filter(zipped, lambda x: (x["lines"] != "") & (x["inside"] == "K")), lambda x: x["lines"])
     out = out.withColumn("kept", kept)
     return out.select(
         "page_id",
@@ -95,7 +103,7 @@ def extract_text(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, div
 def _sql() -> str:
     q = lambda s: s.replace("'", "''")
     re2 = lambda p: q(p.replace("++", "+").replace("*+", "*"))
-    s = f"regexp_replace(translate(coalesce(html, ''), chr(13) || chr(10) || chr(9) || chr(12) || chr(160), '     '), '{re2(_GONE)}', '', 'g')"
+    s = f"regexp_replace(regexp_replace(coalesce(html, ''), '[\\r\\n\\t\\f\\x{{a0}}]+', ' ', 'g'), '{re2(_GONE)}', '', 'g')"
     s = f"regexp_replace(regexp_replace({s}, '{re2(_BLOCK)}', chr(10), 'g'), '{re2(_TAG)}', '', 'g')"
     names = "MAP {" + ", ".join(f"'{k}': '{q(v)}'" for k, v in _NAMES.items()) + "}"
     old = "[" + ", ".join(f"'{v}'" for v in _OLD.values()) + "]"

@@ -181,7 +181,9 @@ def _size(text: Column) -> Column:
 def build_index(docs: DataFrame, shard_lines: int = SHARD_LINES) -> tuple[str, int, int]:
     """Writes the sharded arrays: their folder, the number of shards, and the bytes of all."""
     spark = docs.sparkSession
-    lines = docs.select(F.named_struct(F.lit("doc_id"), F.col("doc_id"), F.lit("size"), _size(F.col("text"))).alias("doc"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
+    # both are columns before lines are put in rows, else a document's size is summed once a line
+    doc = F.named_struct(F.lit("doc_id"), F.col("doc_id"), F.lit("size"), _size(F.col("text")))
+    lines = docs.select(doc.alias("doc"), F.array_distinct(F.array_compact(line_keys(F.col("text")))).alias("keys")).select("doc", F.explode("keys").alias("h"))
     counted = lines.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"))
     counted = materialise(counted.select("h", "n", F.xxhash64("doc.doc_id").alias("keeper"), F.col("doc.size").alias("keeper_size")))
     shards = max(1, -(-counted.count() // shard_lines))
@@ -270,7 +272,7 @@ def _found_routed(docs: DataFrame, path: str, shards: int) -> DataFrame:
             some = np.flatnonzero(n >= 2)
             yield pa.RecordBatch.from_arrays([*b.take(pa.array(some)).columns, *[pa.array(x[some]) for x in (n, keeper, size)]], [*b.schema.names, "n", "keeper", "size"])
 
-    lines = docs.select(*_text_key(), F.explode(F.array_distinct(F.array_compact(line_keys(F.col("text"))))).alias("h"))
+    lines = docs.select(*_text_key(), F.array_distinct(F.array_compact(line_keys(F.col("text")))).alias("keys")).select("k1", "k2", F.explode("keys").alias("h"))
     lines = lines.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).withColumn("salt", F.pmod("k1", F.lit(SALTS)))
     lines = lines.repartition("shard", "salt").sortWithinPartitions("shard").select("k1", "k2", "h")
     back = lines.mapInArrow(seek, "k1 long, k2 long, h long, n long, keeper long, size long")
