@@ -11,11 +11,12 @@ from loam.runtime import materialise
 COOLDOWN_SECONDS = 2
 
 
-def admit(links: DataFrame, known: DataFrame, queue: DataFrame, per_host: int, pending: int, blacklist: list[str] = BLACKLIST) -> DataFrame:
+def admit(links: DataFrame, known: DataFrame, queue: DataFrame, per_host: int, pending: int, blacklist: list[str] = BLACKLIST, host_queues: int | None = None) -> DataFrame:
     """Links that join the queue: url, host, queued_at, added to queue(url, host, queued_at).
 
     links(url, queued_at) are normalised, stripped of listed domains and of urls in known(url) or queued, and
-    taken oldest first while their host has fewer than per_host urls queued and the queue fewer than pending.
+    taken oldest first while their host has fewer than per_host urls queued and the queue fewer than pending.  With
+    host_queues, hosts without a queue get one, those of the oldest links first, while there are fewer queues.
     """
     new = links.select(normalize(F.col("url")).alias("url"), "queued_at").where("url <> ''")
     new = drop_blacklisted(new, "url", blacklist).withColumn("host", host(F.col("url"))).where("host IS NOT NULL")
@@ -23,8 +24,14 @@ def admit(links: DataFrame, known: DataFrame, queue: DataFrame, per_host: int, p
     new = new.join(known.select("url"), "url", "left_anti").join(queue.select("url"), "url", "left_anti")
     have = queue.groupBy("host").agg(F.count("*").alias("have"))
     turn = F.row_number().over(Window.partitionBy("host").orderBy("queued_at", "url"))
-    new = new.join(have, "host", "left").withColumn("turn", turn).where(F.col("turn") + F.coalesce("have", F.lit(0)) <= per_host)
-    new = materialise(new.select("url", "host", "queued_at"))
+    # the literal bound lets each task drop a hot host's later links before they are shuffled
+    new = new.withColumn("turn", turn).where(F.col("turn") <= per_host)
+    new = new.join(have, "host", "left").where(F.col("turn") + F.coalesce("have", F.lit(0)) <= per_host)
+    new = materialise(new.select("url", "host", "queued_at", F.col("have").isNull().alias("unqueued")))
+    if host_queues is not None:
+        fresh = new.where("unqueued").groupBy("host").agg(F.min("queued_at").alias("oldest")).orderBy("oldest", "host").limit(max(0, host_queues - have.count()))
+        new = materialise(new.where("NOT unqueued").unionByName(new.where("unqueued").join(fresh.select("host"), "host", "left_semi").select(*new.columns)))
+    new = new.select("url", "host", "queued_at")
     room = max(0, pending - queue.count())
     return new if new.count() <= room else new.orderBy("queued_at", "url").limit(room)
 
@@ -35,11 +42,14 @@ def host_capped(urls: DataFrame, cap: int) -> DataFrame:
     return urls.withColumn("__turn", turn).where(F.col("__turn") <= cap).drop("__turn")
 
 
-def dispatch(queue: DataFrame, hosts: DataFrame, now: Column, slots: int) -> DataFrame:
+def dispatch(queue: DataFrame, hosts: DataFrame, now: Column, slots: int, failed: DataFrame | None = None) -> DataFrame:
     """url, host of this round's jobs: the oldest url of each host that is not cooling, longest-ready hosts first.
 
-    hosts(host, next_eligible_at) need not have every host; one it lacks is ready.
+    hosts(host, next_eligible_at) need not have every host; one it lacks is ready.  Hosts whose lookups failed, in
+    failed(host, expires_at), are not asked before that has expired.
     """
+    if failed is not None:
+        queue = queue.join(still_failed(queue.select("host").distinct(), failed, now), "host", "left_anti").select(*queue.columns)
     ready = queue.join(hosts.select("host", "next_eligible_at"), "host", "left").where(F.col("next_eligible_at").isNull() | (F.col("next_eligible_at") <= now))
     first = F.row_number().over(Window.partitionBy("host").orderBy("queued_at", "url"))
     jobs = ready.withColumn("turn", first).where("turn = 1")

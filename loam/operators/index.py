@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from loam.functions.porter2 import stem_terms
 from loam.functions.text import title_admitted, tokens
 from loam.functions.urls import host, registrable_domain
+from loam.runtime import materialise, shared_dir
+
+
+#: Page ids that one block of a posting list covers.
+BLOCK_PAGES = 1 << 16
 
 
 @dataclass
@@ -71,29 +76,37 @@ def posting_offsets(terms: DataFrame, record: int = 10) -> DataFrame:
     Terms are ranged into spark.sql.shuffle.partitions parts whose sizes are summed first, so no task sees all of them.
     """
     n = int(terms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parted = terms.repartitionByRange(n, "term").withColumn("__part", F.spark_partition_id())
-    bounds = parted.groupBy("__part").agg(F.min("term").alias("low"), F.sum("df").alias("size"))
-    base = bounds.select("low", F.coalesce(F.sum("size").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.lead("low").over(Window.orderBy("low")).alias("next"))
-    keyed = terms.join(F.broadcast(base), (F.col("term") >= F.col("low")) & (F.col("next").isNull() | (F.col("term") < F.col("next"))))
-    inside = Window.partitionBy("low").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
+    # written with its part's number, so that terms are made once and parts are joined by equality
+    parted = materialise(terms.repartitionByRange(n, "term").withColumn("__part", F.spark_partition_id()))
+    sizes = parted.groupBy("__part").agg(F.sum("df").alias("size"))
+    base = sizes.select("__part", F.coalesce(F.sum("size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    keyed = parted.join(F.broadcast(base), "__part")
+    inside = Window.partitionBy("__part").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
     return keyed.select("term", "df", ((F.col("base") + F.coalesce(F.sum("df").over(inside), F.lit(0))) * record).cast("long").alias("byte_offset"))
 
 
 def write_index(index: Index, path: str) -> None:
-    """Postings range-partitioned and sorted by term, so that a term's row groups are found by their statistics."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Postings in ranges of (term, page), sorted, so that a term's row groups are found by their statistics and a hot term has many."""
+    index.postings.repartitionByRange("term", "page_id").sortWithinPartitions("term", "page_id").write.mode("overwrite").parquet(f"{path}/postings")
     spark = index.postings.sparkSession
     term_dictionary(spark.read.parquet(f"{path}/postings")).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
     index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
     index.meta.coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
+def stored(index: Index) -> Index:
+    """The index as written to the shared folder: every posting is made once, whatever is asked of it afterwards."""
+    path = shared_dir(index.postings.sparkSession)
+    write_index(index, path)
+    return read_index(index.postings.sparkSession, path)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "doc_stats", "meta")])
 
 
 def postings_bytes(posts: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df, byte_offset and records: each posting's 10 little-endian bytes (page_id and freq in 4 each, in_title, in_domain), by page.
+    """term, block, df, byte_offset and records of a block of pages: each posting's 10 little-endian bytes (page_id and freq in 4 each, in_title, in_domain), by page.
 
     The terms' records, one after another in order of term, are the bytes that the offsets point into.
     Ids and frequencies beyond 32 bits don't fit the form and fail.
@@ -108,11 +121,14 @@ def postings_bytes(posts: DataFrame, terms: DataFrame) -> DataFrame:
             out.append(np.array([(p["page_id"], p["freq"], p["in_title"], p["in_domain"]) for p in ps], kind).tobytes())
         return pa.array(out, pa.binary())
 
-    lists = posting_lists(posts.where("page_id IS NOT NULL"))
-    return posting_offsets(terms).join(lists, "term").select("term", "df", "byte_offset", F.arrow_udf(pack, "binary")("postings").alias("records"))
+    lists = materialise(posting_lists(posts.where("page_id IS NOT NULL")))
+    before = F.sum(F.size("postings")).over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = lists.select("term", "block", (10 * F.coalesce(before, F.lit(0))).alias("__start"))
+    placed = posting_offsets(terms).join(starts, "term").join(lists, ["term", "block"])
+    return placed.select("term", "block", "df", (F.col("byte_offset") + F.col("__start")).alias("byte_offset"), F.arrow_udf(pack, "binary")("postings").alias("records"))
 
 
-def posting_lists(posts: DataFrame) -> DataFrame:
-    """term and its postings as one array, by page."""
+def posting_lists(posts: DataFrame, pages: int = BLOCK_PAGES) -> DataFrame:
+    """term, block and the term's postings of a block of pages as one array, by page: no row holds all of a hot term."""
     entry = F.struct("page_id", "freq", "in_title", "in_domain")
-    return posts.groupBy("term").agg(F.sort_array(F.collect_list(entry)).alias("postings"))
+    return posts.groupBy("term", F.floor(F.col("page_id") / pages).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("postings"))

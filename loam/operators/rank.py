@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,8 @@ K1, B, TITLE_BOOST, DOMAIN_BOOST, TOP = 1.35, 0.75, 10.0, 50.0, 50
 
 def query_terms(query: str, stemmed: bool = True) -> Counter:
     """The query's terms and how often each occurs; every occurrence scores."""
-    words = [w for w in re.split(r"[\W_]+", query.lower()) if w]
+    # as documents are: runs of letters and numbers, in lower case
+    words = [w for w in regex.split(r"[^\p{L}\p{N}]+", query.lower()) if w]
     return Counter(stem(w) if stemmed else w for w in words)
 
 

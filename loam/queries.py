@@ -169,10 +169,10 @@ def array_helpers(conv):
     return conv.select("conv_id", "turn", F.size(collections.intersection(a, b)).alias("shared"), F.size(collections.union(a, b)).alias("either"))
 
 
-@query("documents", f"WITH {_TF} SELECT term, string_agg(page_id::VARCHAR || ':' || freq::VARCHAR, ' ' ORDER BY page_id) AS postings FROM p GROUP BY term")
+@query("documents", f"WITH {_TF} SELECT term, page_id // 65536 AS block, string_agg(page_id::VARCHAR || ':' || freq::VARCHAR, ' ' ORDER BY page_id) AS postings FROM p GROUP BY term, block")
 def posting_lists(docs):
     lists = index.posting_lists(index.postings(index.field_tokens(_as_pages(docs), stemmed=False)))
-    return lists.select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["page_id"].cast("string"), p["freq"].cast("string"))), " ").alias("postings"))
+    return lists.select("term", "block", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["page_id"].cast("string"), p["freq"].cast("string"))), " ").alias("postings"))
 
 
 @query(
@@ -254,7 +254,7 @@ SELECT page_id, round(score, 6) AS score FROM (SELECT * FROM s{top})"""
 
 def _bm25(words: str, k: int | None):
     def run(s, d):
-        i = index.build_index(_as_pages(_read(s, d, "documents")), stemmed=False)
+        i = index.stored(index.build_index(_as_pages(_read(s, d, "documents")), stemmed=False))
         scores = rank.scored(i, words, stemmed=False)
         return (rank.top(scores, k) if k else scores).select("page_id", F.round("score", 6).alias("score"))
 
@@ -267,8 +267,8 @@ for _name, _words, _k in (("bm25_one", "the", None), ("bm25_multi", "the and of"
 
 
 def _search(s, d, words="the thing of example"):
-    pages = parse_pages(_read(s, d, "pages"))
-    return rank.search(index.build_index(pages.where("has_been_crawled")), pages, words)
+    pages = materialise(parse_pages(_read(s, d, "pages")))
+    return rank.search(index.stored(index.build_index(pages.where("has_been_crawled"))), pages, words)
 
 
 _Q["search_pages"] = lambda s, d: _search(s, d).withColumn("score", F.round("score", 6))
@@ -308,18 +308,37 @@ def simhash_clusters(docs):
     return connected_components(lsh.page_edges(_doc_prints(docs)))
 
 
+#: Vectors' prints come four times: as they are, and with 1, 3 and 4 bits in turn from their number on turned, so that
+#: distances on either side of the bound occur.
+_TURNED = [0, 1, 3, 4]
+
+
 def _sign_prints(emb):
-    bits = [F.when(F.get("embedding", F.lit(i)) > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i in range(16)]
-    return emb.select(F.col("vec_id").alias("page_id"), sum(bits[1:], bits[0]).alias("fp"))
+    """64 bits of each vector: the signs of its dimensions."""
+    fp = F.lit(0).cast("long")
+    for i in range(64):
+        fp = fp.bitwiseOR(F.when(F.get("embedding", F.lit(i)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    mask = lambda n: " ^ ".join(["0L", *[f"shiftleft(1L, cast((vec_id + {j}) % 64 as int))" for j in range(n)]])
+    masks = F.posexplode(F.array(*[F.expr(mask(n)) for n in _TURNED])).alias("v", "mask")
+    prints = emb.select("vec_id", fp.alias("fp"), masks)
+    return prints.select((F.col("vec_id") * 4 + F.col("v")).alias("page_id"), F.col("fp").bitwiseXOR(F.col("mask")).alias("fp"), (F.col("v") > 0).alias("turned"))
+
+
+def _mask_sql(n: int) -> str:
+    out = "0::BIGINT"
+    for j in range(n):
+        out = f"xor({out}, CASE WHEN (vec_id + {j}) % 64 = 63 THEN (-({1 << 63}::HUGEINT))::BIGINT ELSE 1::BIGINT << ((vec_id + {j}) % 64)::INT END)"
+    return out
 
 
-_SIGNS = f"f AS (SELECT vec_id AS page_id, ({' + '.join(f'(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i} ELSE 0 END)' for i in range(16))})::BIGINT AS fp FROM embeddings)"
-_PAIRS = "SELECT x.page_id AS a, y.page_id AS b FROM f x JOIN f y ON x.page_id < y.page_id AND bit_count(xor(x.fp, y.fp)) <= 1"
+_SIGNS = f"""s AS (SELECT vec_id, ({' + '.join(f'(CASE WHEN embedding[{i + 1}] > 0 THEN {1 << i if i < 63 else -(1 << 63)}::HUGEINT ELSE 0 END)' for i in range(64))})::BIGINT AS fp FROM embeddings),
+f AS ({' UNION ALL '.join(f'SELECT vec_id * 4 + {v} AS page_id, xor(fp, {_mask_sql(n)}) AS fp, {str(v > 0).lower()} AS turned FROM s' for v, n in enumerate(_TURNED))})"""
+_PAIRS = "SELECT x.page_id AS a, y.page_id AS b FROM f x JOIN f y ON x.page_id < y.page_id AND bit_count(xor(x.fp, y.fp)) <= 3"
 
 
 @query("embeddings", f"WITH {_SIGNS} {_PAIRS}")
 def hamming_pairs(emb):
-    return lsh.near_pairs(_sign_prints(emb), 1)
+    return lsh.near_pairs(_sign_prints(emb))
 
 
 @query("embeddings", "SELECT page_id * 2654435761 AS fp, band::INT AS band, (page_id * 2654435761 >> (16 * band)) & 65535 AS chunk FROM (SELECT DISTINCT vec_id AS page_id FROM embeddings), (SELECT unnest(range(4)) AS band)")
@@ -327,15 +346,16 @@ def fingerprint_bands(emb):
     return lsh.bands(emb.select((F.col("vec_id") * 2654435761).alias("fp")))
 
 
-@query("embeddings", f"WITH {_SIGNS} SELECT page_id FROM f x WHERE page_id % 2 = 1 AND EXISTS (SELECT 1 FROM f y WHERE y.page_id % 2 = 0 AND bit_count(xor(x.fp, y.fp)) <= 1)")
+@query("embeddings", f"WITH {_SIGNS} SELECT page_id FROM f x WHERE turned AND EXISTS (SELECT 1 FROM f y WHERE NOT y.turned AND bit_count(xor(x.fp, y.fp)) <= 3)")
 def known_fingerprints(emb):
+    """Turned prints that are near one of those as they are."""
     f = _sign_prints(emb)
-    return lsh.already_known(f.where("page_id % 2 = 1"), f.where("page_id % 2 = 0"), 1).select("page_id")
+    return lsh.already_known(f.where("turned"), f.where("NOT turned")).select("page_id")
 
 
 @query("embeddings", f"WITH RECURSIVE {_SIGNS}, e AS ({_PAIRS}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, other) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.other) SELECT node, min(other) AS root FROM r GROUP BY node")
 def near_components(emb):
-    return connected_components(lsh.page_edges(_sign_prints(emb), 1))
+    return connected_components(lsh.page_edges(_sign_prints(emb)))
 
 
 def _declared(pages):
@@ -387,10 +407,10 @@ def _links(pages):
 _NEW = f"n AS (SELECT {NORM} AS url, min(page_id) AS seen FROM pages GROUP BY 1), h AS (SELECT url, {HOST} AS host, seen, {DOMAIN} AS domain FROM n)"
 
 
-@query("pages", f"WITH {_NEW} SELECT url, host, make_timestamp(seen * 1000000) AT TIME ZONE 'UTC' AS queued_at FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seen, url) AS t FROM h WHERE domain <> 'example.net' AND seen % 5 <> 0) WHERE t <= 20")
+@query("pages", f"WITH {_NEW} SELECT url, host, make_timestamp(seen * 1000000) AT TIME ZONE 'UTC' AS queued_at FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seen, url) AS t FROM h WHERE domain <> 'example.net' AND url NOT LIKE '%.html') WHERE t <= 20")
 def link_admission(pages):
     spark = pages.sparkSession
-    known = pages.select(urls.normalize(F.col("url")).alias("url"), "page_id").groupBy("url").agg(F.min("page_id").alias("at")).where("at % 5 = 0").select("url")
+    known = pages.select(urls.normalize(F.col("url")).alias("url"), "page_id").groupBy("url").agg(F.min("page_id").alias("at")).where("url LIKE '%.html'").select("url")
     queue = spark.createDataFrame([], "url string, host string, queued_at timestamp")
     return frontier.admit(_links(pages), known, queue, 20, 1 << 30, ["example.net"])
 
@@ -422,12 +442,12 @@ def dispatch_round(pages):
 
 @query(
     "pages",
-    f"""WITH {_HOSTS}, q AS (SELECT {HOST} AS host, count(*) AS pending, min(page_id) AS oldest FROM pages WHERE page_id % 2 = 0 GROUP BY 1), j AS (SELECT host, until, dispatched, coalesce(pending, 0) AS pending, oldest FROM hs LEFT JOIN q USING (host)), t AS (SELECT 100 AS now)
+    f"""WITH {_HOSTS}, q AS (SELECT {HOST} AS host, count(*) AS pending, min(page_id) AS oldest FROM pages GROUP BY 1), j AS (SELECT host, until, dispatched, coalesce(pending, 0) AS pending, oldest FROM hs LEFT JOIN q USING (host)), t AS (SELECT 100 AS now)
 SELECT count(*) AS unique_hosts, sum(pending)::BIGINT AS pending_urls, max(pending) AS largest_queue, (SELECT host FROM j ORDER BY pending DESC, host LIMIT 1) AS largest_queue_host, (SELECT host FROM j WHERE oldest IS NOT NULL ORDER BY oldest, host LIMIT 1) AS oldest_queue_host,
 max(dispatched) AS most_dispatched, (SELECT host FROM j ORDER BY dispatched DESC, host LIMIT 1) AS most_dispatched_host, count(*) FILTER (until > now) AS cooldown_hosts, count(*) FILTER (until <= now) AS available_hosts FROM j CROSS JOIN t""",
 )
 def host_stats(pages):
-    queue = _links(pages.where("page_id % 2 = 0")).withColumn("host", urls.host(F.col("url")))
+    queue = _links(pages).withColumn("host", urls.host(F.col("url")))
     return frontier.frontier_stats(queue, _hosts(pages), F.timestamp_seconds(F.lit(100)))
 
 

@@ -18,7 +18,7 @@ from loam.schemas import PAGE, PARSED
 MAX_BYTES, MAX_LINKS = 10 << 20, 100
 TYPES = ["text/html", "text/plain", "application/pdf"]
 #: Text inside these is left out.
-SKIPPED = frozenset("nav aside header footer form input label select option button_ script style noscript svg iframe canvas embed".replace("button_ ", "").split())
+SKIPPED = frozenset("aside canvas embed footer form header iframe input label nav noscript option script select style svg".split())
 
 
 class _Reader(HTMLParser):

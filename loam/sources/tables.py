@@ -26,9 +26,6 @@ class Settings:
     max_host_queues: int = 10_000
     dispatch_slots: int = 150
     cooldown_seconds: int = 2
-    page_batch_rows: int = 1024
-    stats_batch_rows: int = 7500
-    flush_seconds: int = 4
     data_path: str = "data"
     keep_indexes: int = 2
     show_crawl_stats: bool = False
@@ -104,8 +101,13 @@ def overwrite(df: DataFrame, path: str) -> None:
 
 
 def fetched(urls: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """A fetch against a snapshot of pages: urls(url) with the snapshot's row, null html where it has none."""
-    return urls.join(snapshot.dropDuplicates(["url"]), "url", "left")
+    """A fetch against a snapshot of pages: urls(url) with the snapshot's row of least page_id, null html where it has none.
+
+    Only pages that are asked for are compared, so no other page's html is shuffled.
+    """
+    asked = snapshot.join(urls.select("url"), "url", "left_semi")
+    first = asked.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    return urls.join(asked.join(first, ["url", "page_id"]).dropDuplicates(["url"]), "url", "left")
 
 
 def seed_urls(spark: SparkSession, seeds: list[str] = SEEDS) -> DataFrame:

@@ -203,3 +203,21 @@ def test_lineage_cuts_and_checked_broadcasts(spark):
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString()
     assert hinted(small_side(df, 8)) and not hinted(small_side(df, 8, 100))
     assert build_session("tests") is not None
+
+
+def test_hosts_wait_and_queues_are_bounded(spark):
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    links = spark.createDataFrame([("https://a.org/1", 5), ("https://b.org/1", 4), ("https://c.org/1", 3), ("https://a.org/2", 6)], "url string, n long").select("url", F.timestamp_seconds("n").alias("queued_at"))
+    none = spark.createDataFrame([], "url string")
+    queue = spark.createDataFrame([("https://a.org/0", "a.org")], "url string, host string").withColumn("queued_at", at(0))
+    got = sorted(r.url for r in frontier.admit(links, none, queue, 10, 100, [], 2).collect())
+    assert got == ["https://a.org/1", "https://a.org/2", "https://c.org/1"]
+    hosts = spark.createDataFrame([], "host string, next_eligible_at timestamp")
+    failed = spark.createDataFrame([("a.org",)], "host string").withColumn("expires_at", at(10))
+    assert frontier.dispatch(queue, hosts, at(5), 9, failed).count() == 0 and frontier.dispatch(queue, hosts, at(10), 9, failed).count() == 1
+
+
+def test_posting_blocks(spark):
+    posts = spark.createDataFrame([("a", i * 40_000, 1, False, False) for i in range(5)] + [("b", 1, 2, True, False)], "term string, page_id long, freq long, in_title boolean, in_domain boolean")
+    got = {(r.term, r.block): (r.byte_offset, len(r.records)) for r in index.postings_bytes(posts, index.term_dictionary(posts)).collect()}
+    assert got == {("a", 0): (0, 20), ("a", 1): (20, 20), ("a", 2): (40, 10), ("b", 0): (50, 10)}

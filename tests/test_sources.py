@@ -76,7 +76,7 @@ def test_settings_from_the_environment(monkeypatch):
     monkeypatch.setenv("LOAM_CRAWL_COUNT", "7")
     monkeypatch.setenv("LOAM_SEEDS", "https://a,https://b")
     s = tables.Settings.from_environment()
-    assert s.crawl_count == 7 and s.seeds == ["https://a", "https://b"] and s.flush_seconds == 4
+    assert s.crawl_count == 7 and s.seeds == ["https://a", "https://b"]
 
 
 def test_sinks_and_lookups(spark):
@@ -129,3 +129,16 @@ def test_streams(spark):
     got = sorted((r.host, r.at.second, r.dispatched) for r in streaming.drained(streaming.polite_dispatch(stream)).collect())
     assert got == [("a", 0, True), ("a", 1, False), ("a", 2, True), ("a", 3, False), ("b", 0, True)]
     assert streaming.drained(streaming.distinct_urls(stream.select(F.col("host").alias("url")))).count() == 3
+
+
+def test_a_crawl_goes_on_while_there_are_urls_and_offers_failed_ones_again(spark):
+    n = 12
+    pages = [(i, f"https://a.org/{i}", f"<body>p{i}<a href='/{i + 1}'>n</a>" + ("<a href='https://b.org/late'>b</a>" if i in (1, 8) else "")) for i in range(n)]
+    snapshot = spark.createDataFrame(pages, "page_id long, url string, html string")
+    settings = tables.Settings(seeds=[])
+    seeds = tables.seed_urls(spark, ["https://a.org/0"])
+    got = crawl(seeds, snapshot, settings, [])
+    assert sorted(r.page_id for r in got.collect()) == list(range(n))
+    failed = spark.createDataFrame([("a.org",)], "host string").withColumn("expires_at", F.timestamp_seconds(F.lit(1000)))
+    late = crawl(seeds, snapshot.limit(2), settings, [], failed).collect()
+    assert len(late) == 2 and min(r.crawled_at.timestamp() for r in late) >= 1000
