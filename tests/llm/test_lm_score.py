@@ -1,5 +1,6 @@
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,7 +9,8 @@ from hypothesis import strategies as st
 from odd_texts import ODD
 from pyspark.sql import functions as F
 
-from loam.llm.lm_score import build_index, score, score_documents, suffix_array
+from loam.llm import lm_score
+from loam.llm.lm_score import FEW, Filter, _stretches, build_index, score, score_documents, suffix_array
 from loam.llm.queries import queries
 from loam.llm.words import WORD
 
@@ -110,6 +112,52 @@ def test_queries_that_are_no_documents(spark, docs):
         same(r, brute(rows, None, dict(asked)[r.item_id]))
 
 
+def test_shards_hold_what_queries_share_and_no_more(docs, monkeypatch):
+    texts = [" ".join(f"d{i}w{j}" for j in range(800)) for i in range(40)]
+    shared = " ".join(f"s{j}" for j in range(30))
+    d = docs([f"{t} {shared} end{i}" if i in (0, 7, 9) else t for i, t in enumerate(texts)])
+    size, drop = [], lm_score.drop_folder
+
+    def weighed(spark, path):
+        size.append(sum(p.stat().st_size for p in Path(path.removeprefix("file://")).rglob("*.parquet")))
+        drop(spark, path)
+
+    monkeypatch.setattr(lm_score, "drop_folder", weighed)
+    got = {r.doc_id: r for r in score_documents(d, d.where("doc_id IN (0, 1)")).collect()}
+    assert got[0].max_context == 30 and got[0].n_unseen == 801 and got[1].max_context == 0 and got[1].n_unseen == 800
+    # the index of all words would take over 7 bytes a word
+    assert sum(size) < 2 * 40 * 800
+
+
+def test_queries_in_rounds_give_the_same(docs):
+    rows = [*enumerate(t for t in CORPUS if len(t or "") < 300), (3, CORPUS[3])]
+    d = docs(rows)
+    whole, parts = (sorted(map(str, score(build_index(d, groups=3), d, groups=2, round_words=n).collect())) for n in (1 << 20, 250))
+    assert whole == parts and len(whole) == len(rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_filter_misses_nothing(n):
+    h = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)
+    f = Filter.of(h)
+    assert f.has(h).all() and f.has(h + np.uint64(2**60)).mean() < 0.3 if n else not f.has(np.arange(9, dtype=np.uint64)).any()
+
+
+@given(st.sets(st.integers(0, 40)))
+def test_stretches_are_brute_force_s(places):
+    at = np.array(sorted(places), np.int64)
+    begin, size, place, inner = _stretches(at)
+    want, k = [], 0
+    while k < len(at):
+        e = k
+        while e + 1 < len(at) and at[e + 1] == at[e] + 1:
+            e += 1
+        want.append((at[k], at[e] + FEW - at[k]))
+        k = e + 1
+    assert list(zip(begin, size)) == want
+    assert place.tolist() == [b + i for b, n in want for i in range(n)] and place[inner].tolist() == at.tolist()
+
+
 def test_a_query_of_twenty_thousand_words_that_the_corpus_has(docs):
     long = " ".join(f"u{i * i % 1013}v{i % 7}" for i in range(20_000))
     d = docs([long, "start " + long, "another one"])
