@@ -141,7 +141,7 @@ class Filter:
 
     @classmethod
     def of(cls, hashes: np.ndarray) -> Filter:
-        log = max(10, int(8 * len(hashes)).bit_length())
+        log = max(10, int(16 * len(hashes)).bit_length())
         flags = np.zeros(1 << log, bool)
         flags[(hashes >> _U(64 - log)).astype(np.int64)] = True
         return cls(np.packbits(flags, bitorder="little"))
@@ -210,15 +210,19 @@ def _read_filter(path: str, log: int, buckets: int) -> Filter:
 
 
 def _shards(folders: list[str], hashes: np.ndarray, places: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
-    """The folders' shards that have one of the hashes, one in memory at a time, each with the places whose hashes it may have."""
+    """The folders' shards that have one of the hashes, one in memory at a time, each with the places whose hashes it has (but for
+    one in thousands: the upper bits are looked up in its filter, then the lower 32 among its own)."""
     for path in folders:
         fs, p = _place(path)
         for info in sorted(fs.get_file_info(pafs.FileSelector(p, allow_not_found=True)), key=lambda i: i.base_name):
             if info.is_file and info.extension == "parquet":
                 with fs.open_input_file(info.path) as f:
                     file = pq.ParquetFile(f)
-                    bits = file.read(columns=["bits"])["bits"][0].as_py()
-                    here = places[Filter(np.frombuffer(bits, np.uint8)).has(hashes)]
+                    (seen,) = file.read(columns=["bits", "prints"]).to_pylist()
+                    prints = np.frombuffer(seen["prints"], np.uint32)
+                    maybe = np.flatnonzero(Filter(np.frombuffer(seen["bits"], np.uint8)).has(hashes))
+                    low = hashes[maybe].astype(np.uint32)
+                    here = places[maybe[prints[np.minimum(np.searchsorted(prints, low), len(prints) - 1)] == low]]
                     if len(here):
                         (row,) = file.read().to_pylist()
                         yield Shard(row), here
@@ -233,7 +237,7 @@ def make_shard(words: list[np.ndarray], sizes: list[np.ndarray], owners: list[np
     # end marks differ and come before words, so that no two suffixes agree beyond a document
     tokens = np.insert(ids.astype(np.int64) + n, np.cumsum(size), np.arange(n)).astype(np.int32)
     order = suffix_array(tokens)
-    return {"n": len(w), "vocabulary": vocabulary.tobytes(), "sizes": size.astype(np.int32).tobytes(), "owners": np.concatenate(owners).tobytes(), "tokens": tokens.tobytes(), "suffixes": _three(order), "bits": Filter.of(longest).bits.tobytes()}
+    return {"n": len(w), "vocabulary": vocabulary.tobytes(), "sizes": size.astype(np.int32).tobytes(), "owners": np.concatenate(owners).tobytes(), "tokens": tokens.tobytes(), "suffixes": _three(order), "bits": Filter.of(longest).bits.tobytes(), "prints": np.unique(longest.astype(np.uint32)).tobytes()}
 
 
 def _three(order: np.ndarray) -> bytes:
