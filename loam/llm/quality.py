@@ -1,7 +1,8 @@
 """Quality rules as a bitmask ledger.
 
 Every rule is evaluated once per document; a failed rule sets its bit.  Policies are versioned masks over
-those bits, so a new policy and its ablations need no second look at the text.
+those bits, so a new policy and its ablations need no second look at the text: ``judge`` and
+``quality_ablation`` take a ledger made before, and any policies.
 
 Defined results: a null or blank text has no words and fails ``no_words`` only; ratios of an empty
 denominator are 0; rules judge each row alone, so ties, repeated rows and null ids change nothing; empty
@@ -35,8 +36,9 @@ POLICIES: dict[str, list[str]] = {
 MEASURES = ["n_chars", "n_words", "n_symbols", "n_letters", "n_upper", "n_digits", "n_exclaims", "n_broken", "n_repeats", "n_lines", "n_distinct_lines"]
 
 
-def policy_mask(version: str) -> int:
-    return sum(BIT[r] for r in POLICIES[version])
+def policy_mask(version: str, policies: dict[str, list[str]] | None = None) -> int:
+    rules = (POLICIES if policies is None else policies)[version]
+    return sum(BIT[r] for r in set(rules))
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -87,8 +89,13 @@ def _failed() -> Column:
 def quality_ledger(docs: DataFrame) -> DataFrame:
     """doc_id, failed (bits), the measurements, and for each policy whether it keeps the document."""
     out = _measured(docs.select("doc_id", "text")).withColumn("__loam_failed", _failed())
-    keeps = [(F.col("__loam_failed").bitwiseAND(F.lit(policy_mask(v)).cast("long")) == 0).alias(f"keep_{v}") for v in POLICIES]
-    return out.select("doc_id", F.col("__loam_failed").alias("failed"), *[F.col(f"__loam_{m}").alias(m) for m in MEASURES], *keeps)
+    return judge(out.select("doc_id", F.col("__loam_failed").alias("failed"), *[F.col(f"__loam_{m}").alias(m) for m in MEASURES]))
+
+
+def judge(ledger: DataFrame, policies: dict[str, list[str]] | None = None) -> DataFrame:
+    """The ledger with whether each of the policies (by default all of POLICIES) keeps the document, from its bits alone."""
+    versions = POLICIES if policies is None else policies
+    return ledger.withColumns({f"keep_{v}": F.col("failed").bitwiseAND(F.lit(policy_mask(v, versions)).cast("long")) == 0 for v in versions}) if versions else ledger
 
 
 def quality_filter(docs: DataFrame, version: str = "v2") -> DataFrame:
@@ -99,14 +106,14 @@ def quality_filter(docs: DataFrame, version: str = "v2") -> DataFrame:
     return out.where((F.col("__loam_failed").bitwiseAND(F.lit(policy_mask(version)).cast("long")) == 0) & (F.col("__loam_row") >= 0)).select(*[F.col(f"`{c}`") for c in own])
 
 
-def quality_ablation(ledger: DataFrame) -> DataFrame:
-    """For each policy and rule of it: documents that fail the rule, that only it rejects, and that stay without it.
+def quality_ablation(ledger: DataFrame, policies: dict[str, list[str]] | None = None) -> DataFrame:
+    """For each of the policies (by default all of POLICIES) and rule of it: documents that fail the rule, that only it rejects, and that stay without it.
 
     One pass counts the distinct bit patterns (at most 2**rules); all else is bit arithmetic on those counts.
     """
-    spark = ledger.sparkSession
+    spark, versions = ledger.sparkSession, POLICIES if policies is None else policies
     patterns = ledger.groupBy("failed").agg(F.count("*").alias("n"))
-    rules = spark.createDataFrame([(v, r, BIT[r], policy_mask(v)) for v in POLICIES for r in POLICIES[v]], "policy string, rule string, bit long, mask long")
+    rules = spark.createDataFrame([(v, r, BIT[r], policy_mask(v, versions)) for v in versions for r in dict.fromkeys(versions[v])], "policy string, rule string, bit long, mask long")
     of = F.col("failed").bitwiseAND(F.col("mask"))
     return (
         patterns.crossJoin(F.broadcast(rules))

@@ -65,6 +65,19 @@ def test_ablation_is_brute_force_s(docs):
     assert got == want
 
 
+def test_a_new_policy_judges_a_ledger_made_before(spark, docs, tmp_path):
+    fails = [brute(t)[1] for t in texts()]
+    quality.quality_ledger(docs(texts())).drop("keep_v2").write.parquet(f"{tmp_path}/ledger")
+    ledger, new = spark.read.parquet(f"{tmp_path}/ledger"), {"v3": ["digits", "tiny_words", "digits"], "none": []}
+    for r in quality.judge(ledger, new).collect():
+        assert r.keep_v3 == (not fails[r.doc_id] & set(new["v3"])) and r.keep_none
+        assert r.keep_v1 == (not fails[r.doc_id] & set(quality.POLICIES["v1"]))
+    got = {(r.policy, r.rule): (r.n_failed, r.n_only, r.n_kept_without) for r in quality.quality_ablation(ledger, new).collect()}
+    of = [f & set(new["v3"]) for f in fails]
+    assert got == {("v3", x): (sum(x in f for f in fails), sum(f == {x} for f in of), sum(not f - {x} for f in of)) for x in new["v3"]}
+    assert set(quality.judge(ledger).columns) == set(ledger.columns) | {"keep_v2"}
+
+
 def test_clashing_columns_null_ids_and_no_rows(docs):
     d = docs([(None, "plain words here"), (1, "plain words here"), (1, None)]).withColumnRenamed("lang", "failed").withColumnRenamed("source", "n_words")
     out = quality.quality_filter(d)
