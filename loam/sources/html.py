@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,6 +109,11 @@ def admitted_type(content_type):
     return F.coalesce(F.trim(F.split_part(F.lower(content_type), F.lit(";"), F.lit(1))).isin(TYPES), F.lit(False))
 
 
+def written_title(html: Column) -> Column:
+    """The first title of one line as it is spelled, and a space: of character references only &amp; is decoded; without one, a space."""
+    return F.concat(F.replace(F.regexp_extract(html, "(?d)<title>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&")), F.lit(" "))
+
+
 def parse_pages(pages: DataFrame, int8_wrap: bool = False) -> DataFrame:
     """pages(page_id, url, html [, status_code, fetched_at]) as the PAGE table; oversized pages are left out."""
     text_batches(pages.sparkSession)
