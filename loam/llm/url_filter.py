@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.functions.collections import numbered
+from loam.functions.let import let
 from loam.runtime import materialise, release, small_side
 
 ROUNDS, DAMPING, MIN_DISTRUST = 20, 0.85, 0.01
@@ -29,15 +31,16 @@ _HOST = "^(?i:https?:)?//(?:[^/?#@]*@)?([^/?#:@\\[\\]]+)"
 
 def host_of(url: Column) -> Column:
     """Lower-case host of an http(s) or scheme-less // url, else null."""
-    h = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST, 1))
-    return F.when(h != "", h)
+    # the pattern is anchored, so there is one match at most; with a test for '' it would be searched twice
+    return F.lower(F.get(F.regexp_extract_all(url, F.lit(_HOST), 1), F.lit(0)))
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """src, dst, w: how many links of src's pages lead to dst, another host; a page's repeated link counts once."""
     links = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit("(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?((?:https?:)?//[^\"'\\s>]+)"), 1))
-    e = pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("link")).select("src", host_of(F.col("link")).alias("dst"))
-    return e.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
+    # hosts are compared inside the array: a filter over rows is pushed below, and each pattern searched again for it
+    pairs = let(host_of(F.col("url")), lambda src: F.transform(F.filter(F.transform(links, host_of), lambda dst: src != dst), lambda dst: F.struct(src.alias("src"), dst.alias("dst"))))
+    return pages.select(F.explode(pairs).alias("e")).groupBy(F.col("e.src").alias("src"), F.col("e.dst").alias("dst")).agg(F.count("*").alias("w"))
 
 
 def _any_like(col: str, patterns: list[str]) -> Column:
@@ -48,38 +51,46 @@ def _any_like(col: str, patterns: list[str]) -> Column:
 
 
 def personalised_rank(hosts: DataFrame, edges: DataFrame, seed: Column, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """host, score over materialised hosts(host) and edges(src, dst, w); mass flows from src to dst.
+    """id, score over materialised hosts(id, host) and edges(src, dst, w) between ids; mass flows from src to dst.
 
     Each round's ranks are written, so a lost executor costs one round; while they are few enough to be broadcast the
     edges stay where they are, and only flows summed by target are shuffled.
     """
-    base = hosts.where(seed).select("host", F.lit(1.0).alias("s"))
+    base = hosts.where(seed).select("id", F.lit(1.0).alias("s"))
     if not edges.take(1):
         # nothing spreads: each round gives seeds their share of (1 - damping)
-        return hosts.join(base, "host", "left").select("host", F.coalesce(F.col("s") * (1 - damping if rounds else 1.0), F.lit(0.0)).alias("score"))
+        return hosts.join(base, "id", "left").select("id", F.coalesce(F.col("s") * (1 - damping if rounds else 1.0), F.lit(0.0)).alias("score"))
     total = materialise(edges.groupBy("src").agg(F.sum("w").alias("total")))
-    step = materialise(edges.join(small_side(total, 60), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
-    rank = materialise(base.withColumnRenamed("s", "r"))
-    for _ in range(rounds):
-        flow = step.join(small_side(rank.withColumnRenamed("host", "src"), 60), "src").select(F.col("dst").alias("host"), (F.col("r") * F.col("p") * damping).alias("r"))
-        last, rank = rank, materialise(flow.unionByName(base.select("host", (F.col("s") * (1 - damping)).alias("r"))).groupBy("host").agg(F.sum("r").alias("r")))
-        release(last)
+    step = materialise(edges.join(small_side(total, 24), "src").select("src", "dst", (F.col("w") / F.col("total")).alias("p")))
+    base = materialise(base)
+    rank = base.withColumnRenamed("s", "r")
+    for i in range(rounds):
+        flow = step.join(small_side(rank.withColumnRenamed("id", "src"), 24), "src").select(F.col("dst").alias("id"), (F.col("r") * F.col("p") * damping).alias("r"))
+        last, rank = rank, materialise(flow.unionByName(base.select("id", (F.col("s") * (1 - damping)).alias("r"))).groupBy("id").agg(F.sum("r").alias("r")))
+        if i:
+            release(last)
     release(step)
-    return hosts.join(rank, "host", "left").select("host", F.coalesce("r", F.lit(0.0)).alias("score"))
+    return hosts.join(rank, "id", "left").select("id", F.coalesce("r", F.lit(0.0)).alias("score"))
 
 
 def score_hosts(pages: DataFrame, trusted: list[str], blocked: list[str], rounds: int = ROUNDS, damping: float = DAMPING, min_distrust: float = MIN_DISTRUST) -> DataFrame:
     """host, trust, distrust, keep for every host that has a page or is linked to."""
-    edges = materialise(host_edges(pages))
-    hosts = materialise(
-        pages.select(host_of(F.col("url")).alias("host")).where("host IS NOT NULL").union(edges.select("src")).union(edges.select("dst")).distinct()
-    )
+    named = materialise(host_edges(pages))
+    own = materialise(pages.select(host_of(F.col("url")).alias("host")).distinct())
+    hosts, _ = numbered(own.where("host IS NOT NULL").union(named.select("src")).union(named.select("dst")).distinct(), "host", "id")
+    hosts = materialise(hosts)
+    # 40 rounds go over the edges: with numbers for names they are a third as long and no string is hashed
+    ids = small_side(hosts, 80)
+    end = lambda name: ids.select(F.col("host").alias(name), F.col("id").alias(f"{name}_id"))
+    edges = materialise(named.join(end("src"), "src").join(end("dst"), "dst").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "w"))
+    release(named)
     block = _any_like("host", blocked)
     trust = personalised_rank(hosts, edges, _any_like("host", trusted) & ~block, rounds, damping)
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     distrust = personalised_rank(hosts, back, block, rounds, damping)
     bad = block | ((F.col("distrust") >= min_distrust) & (F.col("distrust") > F.col("trust")))
-    return trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host").withColumn("keep", ~bad)
+    scores = hosts.join(trust.withColumnRenamed("score", "trust"), "id").join(distrust.withColumnRenamed("score", "distrust"), "id")
+    return scores.withColumn("keep", ~bad).select("host", "trust", "distrust", "keep")
 
 
 def filter_urls(pages: DataFrame, trusted: list[str] = TRUSTED, blocked: list[str] = BLOCKED, rounds: int = ROUNDS, damping: float = DAMPING, min_distrust: float = MIN_DISTRUST) -> DataFrame:
