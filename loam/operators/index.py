@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loam.functions.porter2 import stem_terms
+from loam.functions.porter2 import stem, stem_terms
 from loam.functions.text import title_admitted, tokens
 from loam.functions.urls import host, registrable_domain
-from loam.runtime import materialise, shared_dir
+from loam.runtime import materialise, shared_dir, small_side, text_batches
 
 
 #: Page ids that one block of a posting list covers.
 BLOCK_PAGES = 1 << 16
+#: Postings that a Python worker gives back at once.
+POSTING_ROWS = 1 << 16
 
 
 @dataclass
@@ -49,6 +54,62 @@ def postings(toks: DataFrame) -> DataFrame:
     )
 
 
+def page_postings(pages: DataFrame, stemmed: bool = True, with_domain: bool = True, only: Collection[str] | None = None) -> DataFrame:
+    """What postings(field_tokens(pages)) gives, of the terms in only if it is given, counted page by page: nothing is shuffled.
+
+    Only rows whose page id comes more than once, if there are any, are grouped.
+    """
+    text_batches(pages.sparkSession)
+    fields = {"body": tokens(F.col("text")), "title": tokens(F.col("title"))}
+    if with_domain and "final_url" in pages.columns:
+        fields["domain"] = tokens(registrable_domain(host(F.col("final_url"))))
+    if only is not None and not stemmed:
+        wanted = list(only)
+        fields = {f: F.filter(t, lambda x: x.isin(wanted)) for f, t in fields.items()}
+    toks = pages.where(title_admitted(F.col("title"))).select("page_id", *[t.alias(f) for f, t in fields.items()])
+    kind = T.StructType([T.StructField("term", T.StringType()), T.StructField("page_id", toks.schema["page_id"].dataType), *[T.StructField(n, t) for n, t in (("freq", T.LongType()), ("in_title", T.BooleanType()), ("in_domain", T.BooleanType()))]])
+
+    def run(batches):
+        for b in batches:
+            yield from _counted(b, stemmed, only)
+
+    posts = toks.mapInArrow(run, kind)
+    ids = materialise(pages.groupBy("page_id").count().where("count > 1").select(F.col("page_id").alias("__id")))
+    if not ids.take(1):
+        return posts
+    several = pages.join(small_side(ids, 24), F.col("page_id").eqNullSafe(F.col("__id")), "left_semi")
+    once = posts.join(small_side(ids, 24), F.col("page_id").eqNullSafe(F.col("__id")), "left_anti")
+    repeated = postings(field_tokens(several, stemmed, with_domain))
+    return once.unionByName(repeated.where(F.col("term").isin(list(only))) if only is not None else repeated)
+
+
+def _counted(b: pa.RecordBatch, stemmed: bool, only: Collection[str] | None) -> Iterator[pa.RecordBatch]:
+    """A batch of pages' tokens as postings; its columns are page_id and the fields' lists."""
+    rows, words, kinds = [], [], []
+    for k, field in enumerate(b.schema.names[1:]):
+        lists = b[field]
+        rows.append(pc.list_parent_indices(lists).to_numpy())
+        words.append(pc.list_flatten(lists))
+        kinds.append(np.full(len(words[-1]), {"body": 0, "title": 1, "domain": 2}[field], np.int8))
+    row, field = np.concatenate(rows).astype(np.int64), np.concatenate(kinds)
+    coded = pa.chunked_array(words, words[0].type).combine_chunks().dictionary_encode()
+    code, terms = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    if stemmed:
+        spelled = pa.array([stem(w) for w in terms.to_pylist()], pa.string()).dictionary_encode()
+        code, terms = spelled.indices.to_numpy().astype(np.int64)[code], spelled.dictionary
+    if only is not None:
+        hit = pc.is_in(terms, pa.array(list(only), terms.type)).to_numpy(zero_copy_only=False)[code]
+        row, field, code = row[hit], field[hit], code[hit]
+    pairs, at = np.unique(row * max(1, len(terms)) + code, return_inverse=True)
+    n = lambda mask: np.bincount(at[mask], minlength=len(pairs))
+    freq = np.maximum(n(field != 2), 1)
+    row, code = np.divmod(pairs, max(1, len(terms)))
+    columns = [terms.take(pa.array(code)), b["page_id"].take(pa.array(row)), freq, n(field == 1) > 0, n(field == 2) > 0]
+    out = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["term", "page_id", "freq", "in_title", "in_domain"])
+    for start in range(0, out.num_rows, POSTING_ROWS):
+        yield out.slice(start, POSTING_ROWS)
+
+
 def term_dictionary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
@@ -65,11 +126,17 @@ def corpus_statistics(doc_stats: DataFrame, floor_average: bool = True) -> DataF
 
 
 def build_index(pages: DataFrame, stemmed: bool = True, with_domain: bool = True, floor_average: bool = True) -> Index:
-    posts = postings(field_tokens(pages, stemmed, with_domain))
+    posts = page_postings(pages, stemmed, with_domain)
     stats = document_lengths(pages)
     return Index(posts, term_dictionary(posts), stats, corpus_statistics(stats, floor_average))
 
 
+def query_index(pages: DataFrame, terms: Collection[str], stemmed: bool = True, with_domain: bool = True, floor_average: bool = True) -> Index:
+    """What a query of these terms reads of the pages' index: their postings alone, and every page's length."""
+    posts, stats = materialise(page_postings(pages, stemmed, with_domain, terms)), materialise(document_lengths(pages))
+    return Index(posts, term_dictionary(posts), stats, corpus_statistics(stats, floor_average))
+
+
 def posting_offsets(terms: DataFrame, record: int = 10) -> DataFrame:
     """term, df, byte_offset of its records when postings lie in order of term.
 
