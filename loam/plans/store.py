@@ -62,6 +62,11 @@ def crawl_summary(pages: DataFrame) -> DataFrame:
 
 def index_summary(index: Index) -> DataFrame:
     """One row of counts over an index."""
-    posts = index.postings.agg(F.count("*").alias("postings"), F.sum("freq").alias("occurrences"), F.count_if("in_title").alias("title_postings"), F.count_if("in_domain").alias("domain_postings"))
-    terms = index.terms.agg(F.count("*").alias("terms"), F.max("df").alias("most_pages_of_a_term"), F.count_if(F.col("df") == 1).alias("terms_of_one_page"))
-    return index.meta.select("document_count", "total_token_count", "average_doc_length").crossJoin(posts).crossJoin(terms)
+    # by term first: the postings are read once, and what is summed then is a row a term
+    each = index.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("freq"), F.count_if("in_title").alias("t"), F.count_if("in_domain").alias("d"))
+    none = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = each.agg(
+        none("df").alias("postings"), F.sum("freq").alias("occurrences"), none("t").alias("title_postings"), none("d").alias("domain_postings"),
+        F.count("*").alias("terms"), F.max("df").alias("most_pages_of_a_term"), F.count_if(F.col("df") == 1).alias("terms_of_one_page"),
+    )
+    return index.meta.select("document_count", "total_token_count", "average_doc_length").crossJoin(counts)
