@@ -114,8 +114,8 @@ def written_title(html: Column) -> Column:
     return F.concat(F.replace(F.regexp_extract(html, "(?d)<title>(.*?)</title>", 1), F.lit("&amp;"), F.lit("&")), F.lit(" "))
 
 
-def parse_pages(pages: DataFrame, int8_wrap: bool = False) -> DataFrame:
-    """pages(page_id, url, html [, status_code, fetched_at]) as the PAGE table; oversized pages are left out."""
+def parse_pages(pages: DataFrame, int8_wrap: bool = False, prints: bool = True) -> DataFrame:
+    """pages(page_id, url, html [, status_code, fetched_at]) as the PAGE table; oversized pages are left out. Without prints content_hash is null."""
     text_batches(pages.sparkSession)
     kind = pa.struct([(f.name, pa.list_(pa.string()) if f.name == "links" else pa.bool_() if f.dataType.simpleString() == "boolean" else pa.string()) for f in PARSED])
 
@@ -125,8 +125,8 @@ def parse_pages(pages: DataFrame, int8_wrap: bool = False) -> DataFrame:
             rows = [parse_page(*x) for x in zip(b["html"].to_pylist(), b["url"].to_pylist(), b["status_code"].to_pylist())]
             b = b.drop_columns("html").filter(pa.array([r is not None for r in rows], pa.bool_()))
             rows = [r for r in rows if r is not None]
-            prints = np.array([fingerprint(r["text"], int8_wrap) for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, *pa.array(rows, kind).flatten(), pa.array(prints)], [*b.schema.names, *[f.name for f in kind], "content_hash"])
+            hashes = np.array([fingerprint(r["text"], int8_wrap) for r in rows], np.uint64).view(np.int64) if prints else pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, *pa.array(rows, kind).flatten(), hashes if isinstance(hashes, pa.Array) else pa.array(hashes)], [*b.schema.names, *[f.name for f in kind], "content_hash"])
 
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     at = F.col("fetched_at") if "fetched_at" in pages.columns else F.lit(None).cast("timestamp")
